@@ -17,7 +17,7 @@ def add_days_hours(ts: Column, days: Column, hours: Column) -> Column:
 def whole_days(start: Column, end: Column) -> Column:
     """Whole days from start to end, truncated toward zero (a fractional day
     difference cast to int); not a count of midnights."""
-    return F.timestampdiff("DAY", start, end).cast("int")
+    return F.timestamp_diff("DAY", start, end).cast("int")
 
 
 def per_unit(value: Column, original_quantity: Column, convert_quantity: Column) -> Column:

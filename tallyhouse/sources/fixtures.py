@@ -187,3 +187,32 @@ class Ledger:
             (k % 2 == 0).alias("ball"), (k % 3 == 0).alias("half_ball"),
             (F.col("s_nationkey") != 0).alias("pack"), (F.col("s_nationkey") == 0).alias("roll"),
             k.alias("form_order"))
+
+    # ---- drafts (the transaction page's input, one row per draft line) ------
+    @cached_property
+    def draft_lines(self) -> DataFrame:
+        """OUT lines as drafts: (invoice_id, line_no, product_id, txn_type,
+        quantity, unit_id, price)."""
+        part = self.driver("part").select("p_partkey", "p_retailprice")
+        li = self.driver("lineitem").where(F.col("l_returnflag") != "R")
+        return li.join(part, F.col("l_partkey") == F.col("p_partkey"), "left").select(
+            F.col("l_orderkey").alias("invoice_id"), F.col("l_linenumber").alias("line_no"),
+            F.col("l_partkey").alias("product_id"), F.lit(S.TXN_OUT).alias("txn_type"),
+            F.col("l_quantity").alias("quantity"), (F.col("l_linenumber") % 3 + 1).cast("int").alias("unit_id"),
+            F.col("p_retailprice").alias("price"))
+
+    @cached_property
+    def draft_headers(self) -> DataFrame:
+        """(invoice_id, vendor, invoice_date, maturity_days) per order."""
+        c = self.driver("customer").select("c_custkey", "c_name")
+        o = self.driver("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select(
+            F.col("o_orderkey").alias("invoice_id"), F.col("c_name").alias("vendor"),
+            F.col("o_orderdate").alias("invoice_date"), (F.col("o_orderkey") % 90).cast("int").alias("maturity_days"))
+
+    @cached_property
+    def purchase_entries(self) -> DataFrame:
+        """Purchase form entries: the IN lines with their total price."""
+        t = self.txn.where(F.col("txn_type") == S.TXN_IN)
+        return t.select(F.col("transaction_id").alias("purchase_id"), "product_id", "quantity", "unit_id",
+                        "total_price")
