@@ -1,5 +1,6 @@
 """The registered queries: one callable (spark, sf_dir) -> DataFrame per
-operator, each over the whole driver tables (through the fixture mapping).
+operator, each over the whole ledger tables: the driver tables of ``sf_dir`` imported
+once per application into the ledger's table store (``sources.ledger``).
 
 Queries that exercise a sink write into a fresh folder under the session's
 shared work folder (``spark.checkpoint.dir``) and return the table read back.
@@ -17,7 +18,8 @@ from ..operators import catalogue, edits, invoicing, posting, reports, units
 from ..operators.cascade import stock_cascade
 from ..operators.demand import demand
 from ..session import scratch_path
-from ..sources.fixtures import AS_OF, Ledger
+from ..sources.fixtures import AS_OF
+from ..sources.ledger import LedgerTables as Ledger
 from ..sources.tables import TableStore, read_csv_table, write_csv_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,33 +49,34 @@ def q_size_list(spark, d):
 
 def q_enrich_lines(spark, d):
     L = Ledger(spark, d)
-    return reports.enrich_lines(L.txn_lines, L.product, L.unit_size)
+    lines = L.txn.select("transaction_id", "invoice_id", "product_id", "txn_type", "quantity", "unit_id")
+    return reports.enrich_lines(lines, L.product, L.unit_size)
 
 
 def q_invoice_detail(spark, d):
     L = Ledger(spark, d)
-    selection = L.invoice_core.where(F.col("status") == S.STATUS_INVOICE)
+    selection = L.invoice.where(F.col("status") == S.STATUS_INVOICE)
     return reports.invoice_detail(selection, L.txn)
 
 
 def q_demand_out(spark, d):
     L = Ledger(spark, d)
-    return demand(L.txn_lines, L.invoice_core, S.TXN_OUT, S.STATUS_INVOICE)
+    return demand(L.txn, L.invoice, S.TXN_OUT, S.STATUS_INVOICE)
 
 
 def q_demand_paid(spark, d):
     L = Ledger(spark, d)
-    return demand(L.txn_lines, L.invoice_core, S.TXN_OUT, S.STATUS_PAID)
+    return demand(L.txn, L.invoice, S.TXN_OUT, S.STATUS_PAID)
 
 
 def q_supply_in(spark, d):
     L = Ledger(spark, d)
-    return demand(L.txn_lines, L.invoice_core, S.TXN_IN, S.STATUS_INVOICE)
+    return demand(L.txn, L.invoice, S.TXN_IN, S.STATUS_INVOICE)
 
 
 def q_replenish_in(spark, d):
     L = Ledger(spark, d)
-    return posting.replenish_in(L.inventory, L.txn_lines, L.invoice_core)
+    return posting.replenish_in(L.inventory, L.txn, L.invoice)
 
 
 def q_replenish_purchases(spark, d):
@@ -100,22 +103,22 @@ def q_stock_in_packs(spark, d):
 
 def q_demand_in_packs(spark, d):
     L = Ledger(spark, d)
-    return units.demand_in_packs(demand(L.txn_lines, L.invoice_core), L.size_conversion)
+    return units.demand_in_packs(demand(L.txn, L.invoice), L.size_conversion)
 
 
 def q_demand_in_packs_paid(spark, d):
     L = Ledger(spark, d)
-    return units.demand_in_packs(demand(L.txn_lines, L.invoice_core, S.TXN_OUT, S.STATUS_PAID), L.size_conversion)
+    return units.demand_in_packs(demand(L.txn, L.invoice, S.TXN_OUT, S.STATUS_PAID), L.size_conversion)
 
 
 def q_stock_sufficiency(spark, d):
     L = Ledger(spark, d)
-    return posting.stock_sufficiency(L.inventory, L.size_conversion, L.txn_lines, L.invoice_core)
+    return posting.stock_sufficiency(L.inventory, L.size_conversion, L.txn, L.invoice)
 
 
 def q_stock_sufficiency_paid(spark, d):
     L = Ledger(spark, d)
-    return posting.stock_sufficiency(L.inventory, L.size_conversion, L.txn_lines, L.invoice_core,
+    return posting.stock_sufficiency(L.inventory, L.size_conversion, L.txn, L.invoice,
                                      S.STATUS_PAID, parity=True)
 
 
@@ -134,7 +137,7 @@ def q_available_in_unit(spark, d):
 
 def q_stock_cascade(spark, d):
     L = Ledger(spark, d)
-    return stock_cascade(L.inventory, L.size_conversion, demand(L.txn_lines, L.invoice_core))
+    return stock_cascade(L.inventory, L.size_conversion, demand(L.txn, L.invoice))
 
 
 def q_mark_processed(spark, d):
@@ -147,12 +150,12 @@ def q_invoice_term_days(spark, d):
 
 def q_base_unit_quantity(spark, d):
     L = Ledger(spark, d)
-    return invoicing.base_unit_quantity(L.txn_lines.where(F.col("txn_type") == S.TXN_OUT))
+    return invoicing.base_unit_quantity(L.txn.where(F.col("txn_type") == S.TXN_OUT))
 
 
 def q_discount_tier(spark, d):
     L = Ledger(spark, d)
-    return invoicing.discount_tier(invoicing.base_unit_quantity(L.txn_lines.where(F.col("txn_type") == S.TXN_OUT)))
+    return invoicing.discount_tier(invoicing.base_unit_quantity(L.txn.where(F.col("txn_type") == S.TXN_OUT)))
 
 
 def q_invoice_pricing(spark, d):
@@ -233,10 +236,7 @@ def q_keyed_match(spark, d):
 
 
 def q_post_invoices(spark, d):
-    L = Ledger(spark, d)
-    store = TableStore(spark)
-    store.replace({"inventory": L.inventory, "size_conversion": L.size_conversion, "txn": L.txn,
-                   "invoice": L.invoice})
+    store = Ledger(spark, d).fork(["inventory", "size_conversion", "txn", "invoice"])
     posting.post_invoices(store)
     return store.read("inventory")
 

@@ -49,6 +49,11 @@ def write_csv_table(df: DataFrame, path: str) -> None:
 
 _MARKER = T.StructType([T.StructField("tables", T.ArrayType(T.StringType()))])
 
+# Directory partitioning of the stored ledger tables: the direction filter of
+# every demand / supply query and the status filter of every invoice query
+# prune whole directories instead of reading and filtering rows.
+PARTITION_BY = {"txn": ["txn_type"], "invoice": ["status"]}
+
 
 class TableStore:
     """Versioned ledger tables in one folder (see module doc)."""
@@ -79,17 +84,33 @@ class TableStore:
         v = c.agg(F.max("v")).first()[0]
         return int(v or 0)
 
+    def versions(self) -> dict[str, int]:
+        """Newest committed version of every table, from one read of the markers."""
+        c = self._commits()
+        if c is None:
+            return {}
+        rows = c.select("v", F.explode("tables").alias("t")).groupBy("t").agg(F.max("v").alias("v")).collect()
+        return {r["t"]: int(r["v"]) for r in rows}
+
     def read(self, table: str, version: int | None = None) -> DataFrame:
         v = version or self.version(table)
         if v == 0:
             raise KeyError(f"table {table!r} has no committed version in {self.root}")
-        return read_parquet_table(self.spark, self.path(table, v), self.schemas[table])
+        schema = self.schemas[table]
+        # partition columns come back last: restore the declared column order
+        return read_parquet_table(self.spark, self.path(table, v), schema).select(*schema.fieldNames())
+
+    def _write(self, name: str, df: DataFrame, mode: str, version: int) -> None:
+        w = conform(df, self.schemas[name]).write.mode(mode)
+        if name in PARTITION_BY:
+            w = w.partitionBy(*PARTITION_BY[name])
+        w.parquet(self.path(name, version))
 
     def stage(self, frames: dict[str, DataFrame]) -> int:
         """Write every frame under the next version, uncommitted."""
         v = self.version() + 1
         for name, df in frames.items():
-            conform(df, self.schemas[name]).write.mode("overwrite").parquet(self.path(name, v))
+            self._write(name, df, "overwrite", v)
         return v
 
     def commit(self, version: int, tables: list[str]) -> int:
@@ -109,5 +130,5 @@ class TableStore:
         v = self.version(table)
         if v == 0:
             return self.replace({table: rows})
-        conform(rows, self.schemas[table]).write.mode("append").parquet(self.path(table, v))
+        self._write(table, rows, "append", v)
         return v
