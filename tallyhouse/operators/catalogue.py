@@ -83,10 +83,18 @@ def onboard_products(new_products: DataFrame, product: DataFrame, inventory: Dat
 
     A product with both PACK and ROLL ticked has two unit-3 rows: both go to
     ``rejects`` and get no inventory row or edge.
+
+    Ids are dense and ordered but never pass through one task: see
+    ``functions.ids.with_consecutive_ids``. Needs a checkpoint folder
+    (``session.work_dir``).
     """
-    nxt = next_ids(product, inventory)
+    # Both offsets come from one scan of the product and inventory ids; the
+    # offsets and the numbered products are checkpointed (to the shared
+    # checkpoint folder), so the later steps reuse them instead of re-running
+    # the scans, the range partitioning and the prefix sum.
+    nxt = next_ids(product, inventory).checkpoint()
     prod = with_consecutive_ids(new_products, [order_by], "product_id",
-                                nxt.select(F.col("next_product_id") - 1))
+                                nxt.select(F.col("next_product_id") - 1)).checkpoint()
     units = F.array(*[
         F.when(F.col(flag), F.struct(F.lit(u).alias("unit_id"), F.lit(name).alias("unit_size")))
         for flag, (u, name) in zip(("ball", "half_ball", "pack", "roll"), (*S.UNIT_LADDER, S.ROLL_UNIT))])
@@ -95,6 +103,7 @@ def onboard_products(new_products: DataFrame, product: DataFrame, inventory: Dat
         "product_id", "product_name", F.col("u.unit_id").cast("int").alias("unit_id"),
         F.col("u.unit_size").alias("unit_size"))
     valid, rejects = split_duplicates(unit_rows, ["product_id", "unit_id"])
+    valid = valid.checkpoint()
     inv = with_consecutive_ids(valid, ["product_id", "unit_id"], "inventory_id",
                                nxt.select(F.col("next_inventory_id") - 1)).select(
         "inventory_id", "product_id", "product_name", "unit_id", "unit_size", F.lit(0.0).alias("stock"))

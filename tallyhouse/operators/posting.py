@@ -26,8 +26,15 @@ def stock_sufficiency(inventory: DataFrame, conversion: DataFrame, txn: DataFram
     inner join, under which a product without stock escapes the check. A NULL
     comparison counts as insufficient either way.
     """
+    return sufficiency_of(inventory, conversion, demand(txn, invoice, S.TXN_OUT, status), parity)
+
+
+def sufficiency_of(inventory: DataFrame, conversion: DataFrame, open_demand: DataFrame,
+                   parity: bool = False) -> DataFrame:
+    """``stock_sufficiency`` for an already aggregated demand (product_id,
+    unit_id, quantity)."""
     sp = stock_in_packs(inventory, conversion)
-    dp = demand_in_packs(demand(txn, invoice, S.TXN_OUT, status), conversion)
+    dp = demand_in_packs(open_demand, conversion)
     j = sp.join(dp, "product_id", "inner") if parity else dp.join(sp, "product_id", "left")
     return j.select("product_id", "stock_pack", "pack_buy",
                     F.coalesce(F.col("stock_pack") >= F.col("pack_buy"), F.lit(False)).alias("truth_value"))
@@ -73,9 +80,14 @@ class Posting:
     rejects: DataFrame | None = None
 
 
-def post_invoices(store: TableStore, status: str = S.STATUS_INVOICE, parity: bool = False) -> Posting:
+def post_invoices(store: TableStore, status: str = S.STATUS_INVOICE, parity: bool = False,
+                  invoice: DataFrame | None = None) -> Posting:
     """Post the open ``status`` invoices of the store: gate, cascade, mark.
 
+    ``invoice`` is an edited invoice table (e.g. statuses changed in a grid)
+    to post instead of the stored one; it is written with the posting, so a
+    refused posting writes nothing, edits included.
+
     1. inventory rows with a duplicate (product, unit) key are set aside (they
        pass through unchanged and are returned as ``rejects``);
     2. the gate: ``parity`` checks ``PAID`` demand with the inner join, the
@@ -88,16 +100,19 @@ def post_invoices(store: TableStore, status: str = S.STATUS_INVOICE, parity: boo
     inventory = store.read("inventory")
     conversion = store.read("size_conversion")
     txn = store.read("txn")
-    invoice = store.read("invoice")
+    invoice = store.read("invoice") if invoice is None else invoice
 
     valid, rejects = split_duplicates(inventory, list(S.KEYS["inventory"]))
-    gate_status = S.STATUS_PAID if parity else status
-    gate = sufficiency_gate(stock_sufficiency(valid, conversion, txn, invoice, gate_status, parity))
+    # The demand (the one aggregate over the transaction lines) is computed once
+    # for the gate and the cascade: checkpointed into the shared folder, it is
+    # product x unit sized.
+    open_demand = demand(txn, invoice, S.TXN_OUT, status).checkpoint()
+    gate_demand = demand(txn, invoice, S.TXN_OUT, S.STATUS_PAID) if parity else open_demand
+    gate = sufficiency_gate(sufficiency_of(valid, conversion, gate_demand, parity))
     if not gate.first()["sufficient"]:
         return Posting(False, store.version(), "insufficient stock", rejects)
 
-    new_inventory = stock_cascade(valid, conversion, demand(txn, invoice, S.TXN_OUT, status)) \
-        .unionByName(rejects)
+    new_inventory = stock_cascade(valid, conversion, open_demand).unionByName(rejects)
     version = store.stage({"inventory": new_inventory, "invoice": mark_processed(invoice, status)})
     if not parity:
         staged = store.read("inventory", version)

@@ -17,7 +17,7 @@ from .. import schemas as S
 from ..operators import catalogue, edits, invoicing, posting, reports, units
 from ..operators.cascade import stock_cascade
 from ..operators.demand import demand
-from ..session import scratch_path
+from ..session import scratch_path, work_dir
 from ..sources.fixtures import AS_OF
 from ..sources.ledger import LedgerTables as Ledger
 from ..sources.tables import TableStore, read_csv_table, write_csv_table
@@ -184,6 +184,7 @@ def q_next_ids(spark, d):
 
 def q_onboard_products(spark, d):
     L = Ledger(spark, d)
+    work_dir(spark)  # checkpoints go to the shared folder
     return catalogue.onboard_products(L.new_products, L.product, L.inventory).inventory
 
 
