@@ -188,7 +188,7 @@ class Ledger:
             (F.col("s_nationkey") != 0).alias("pack"), (F.col("s_nationkey") == 0).alias("roll"),
             k.alias("form_order"))
 
-    # ---- drafts (the transaction page's input, one row per draft line) ------
+    # ---- drafts (input of invoice building, one row per draft line) ---------
     @cached_property
     def draft_lines(self) -> DataFrame:
         """OUT lines as drafts: (invoice_id, line_no, product_id, txn_type,

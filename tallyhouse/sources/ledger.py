@@ -1,38 +1,57 @@
 """The ledger's stored tables.
 
-``import_driver_tables`` writes the eight ledger tables, derived from a
-driver folder by the fixture mapping, into a ``TableStore`` as one committed
-version. ``LedgerTables`` reads them back at that version (without re-reading
-the commit markers) and passes the input batches (forms, drafts, login
-attempts) through from the mapping.
-
-Within one Spark application each driver folder is imported once.
+The eight ledger tables, derived from a driver folder by the fixture mapping,
+are written into a ``TableStore`` (``import_driver_tables`` writes them all as
+one version). ``LedgerTables`` reads them back at their imported versions
+(without re-reading the commit markers); a table not yet imported in this
+Spark application is imported on first use. Input batches (forms, drafts,
+login attempts) pass through from the mapping.
 """
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas as S
 from .fixtures import Ledger
 from .tables import TableStore
 
-_IMPORTED: dict[tuple[str, str], tuple[TableStore, dict[str, int]]] = {}
-
 
-def import_driver_tables(spark: SparkSession, sf_dir: str, root: str | None = None) -> TableStore:
+def import_driver_tables(spark: SparkSession, sf_dir: str, root: str | None = None,
+                         tables: list[str] | None = None) -> TableStore:
     L = Ledger(spark, sf_dir)
     store = TableStore(spark, root)
-    store.replace({name: getattr(L, name) for name in S.TABLES})
+    store.replace({name: getattr(L, name) for name in (tables or list(S.TABLES))})
     return store
 
 
-def imported(spark: SparkSession, sf_dir: str) -> tuple[TableStore, dict[str, int]]:
+class _Imported:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.store = TableStore(spark)
+        self.mapping = Ledger(spark, sf_dir)
+        self.versions: dict[str, int] = {}
+        self.lock = threading.Lock()
+
+    def ensure(self, names: list[str]) -> None:
+        with self.lock:
+            todo = [n for n in names if n not in self.versions]
+            if todo:
+                v = self.store.replace({n: getattr(self.mapping, n) for n in todo})
+                self.versions.update({n: v for n in todo})
+
+
+_IMPORTED: dict[tuple[str, str], _Imported] = {}
+_LOCK = threading.Lock()
+
+
+def imported(spark: SparkSession, sf_dir: str) -> _Imported:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _IMPORTED:
-        store = import_driver_tables(spark, sf_dir)
-        _IMPORTED[key] = (store, store.versions())
-    return _IMPORTED[key]
+    with _LOCK:
+        if key not in _IMPORTED:
+            _IMPORTED[key] = _Imported(spark, sf_dir)
+        return _IMPORTED[key]
 
 
 class LedgerTables:
@@ -40,12 +59,22 @@ class LedgerTables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        self.store, self._versions = imported(spark, sf_dir)
-        self.inputs = Ledger(spark, sf_dir)
+        self._imp = imported(spark, sf_dir)
+        self.store = self._imp.store
+        self.inputs = self._imp.mapping
+
+    def import_tables(self, names: list[str]) -> LedgerTables:
+        """Import several tables at once (concurrent writes, one version)."""
+        self._imp.ensure(names)
+        return self
+
+    def import_all(self) -> LedgerTables:
+        return self.import_tables(list(S.TABLES))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in S.TABLES:
-            return self.store.read(name, self._versions[name])
+            self._imp.ensure([name])
+            return self.store.read(name, self._imp.versions[name])
         return getattr(self.inputs, name)
 
     def fork(self, tables: list[str]) -> TableStore:

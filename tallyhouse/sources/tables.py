@@ -12,6 +12,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,10 +109,16 @@ class TableStore:
         w.parquet(self.path(name, version))
 
     def stage(self, frames: dict[str, DataFrame]) -> int:
-        """Write every frame under the next version, uncommitted."""
+        """Write every frame under the next version, uncommitted. The tables
+        are written by concurrent jobs (one thread each submits its job)."""
         v = self.version() + 1
-        for name, df in frames.items():
-            self._write(name, df, "overwrite", v)
+        if len(frames) == 1:
+            for name, df in frames.items():
+                self._write(name, df, "overwrite", v)
+            return v
+        with ThreadPoolExecutor(max_workers=min(8, len(frames))) as pool:
+            for f in [pool.submit(self._write, name, df, "overwrite", v) for name, df in frames.items()]:
+                f.result()
         return v
 
     def commit(self, version: int, tables: list[str]) -> int:
