@@ -23,7 +23,7 @@ descending order, and exploded back to rows. No join, no UDF.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,13 +44,33 @@ def adjacent_edges(conversion: DataFrame) -> DataFrame:
         "product_id", F.col("convert_unit_id").alias("unit_id"), F.col("convert_quantity").alias("q"))
 
 
-def _lookup(entries: Column, unit: Column, field: str) -> Column:
-    """field of the entry of ``unit`` in a small array of (unit_id, field)."""
-    return F.get(F.filter(entries, lambda e: e["unit_id"] == unit), 0)[field]
-
-
-def _has(entries: Column, unit: Column) -> Column:
-    return F.exists(entries, lambda e: e["unit_id"] == unit)
+# The fold, as one SQL expression (parsed once on the JVM side; building it
+# column by column from Python costs a round trip per node). Per element x
+# (finest unit first) with accumulator acc = (out rows, next_unit, m):
+#   buy   = demand of x, plus acc.m when x is the unit acc.next_unit points at
+#   short = x is above the base unit and buy > stock
+#   m     = ceil((buy - stock) / q); stock' = (short ? stock + m*q : stock) - buy
+#   next_unit = x.unit_id - 1 when short and the adjacent edge exists
+_ELEMS = """sort_array(transform(inv, x -> named_struct(
+    'unit_id', x.unit_id, 'inventory_id', x.inventory_id, 'product_name', x.product_name,
+    'unit_size', x.unit_size, 'stock', x.stock,
+    'buy', coalesce(get(filter(dem, d -> d.unit_id = x.unit_id), 0).buy, 0D),
+    'has_edge', exists(edg, e -> e.unit_id = x.unit_id),
+    'q', get(filter(edg, e -> e.unit_id = x.unit_id), 0).q)), false)"""
+_BUY = "if(acc.next_unit <=> x.unit_id, x.buy + acc.m, x.buy)"
+_SHORT = f"(x.unit_id > {S.BASE_UNIT} AND coalesce({_BUY} > x.stock, false))"
+_M = f"cast(ceil(try_divide({_BUY} - x.stock, x.q)) AS double)"
+_STOCK = f"if({_SHORT}, x.stock + {_M} * x.q, x.stock) - {_BUY}"
+_FOLD = f"""aggregate(elems,
+    named_struct('out', cast(array() AS array<{_OUT.simpleString()}>),
+                 'next_unit', cast(NULL AS int), 'm', cast(NULL AS double)),
+    (acc, x) -> named_struct(
+        'out', array_append(acc.out, named_struct(
+            'inventory_id', x.inventory_id, 'product_name', x.product_name, 'unit_id', x.unit_id,
+            'unit_size', x.unit_size, 'stock', {_STOCK})),
+        'next_unit', if({_SHORT} AND x.has_edge, x.unit_id - 1, NULL),
+        'm', {_M}),
+    acc -> acc.out)"""
 
 
 def stock_cascade(inventory: DataFrame, conversion: DataFrame, demand: DataFrame) -> DataFrame:
@@ -77,32 +97,8 @@ def stock_cascade(inventory: DataFrame, conversion: DataFrame, demand: DataFrame
                     F.collect_list("edg").alias("edg"))
                .where(F.size("inv") > 0))
 
-    dem_c, edg_c = F.col("dem"), F.col("edg")
-    # one element per inventory row, finest unit first (struct order = unit_id first)
-    elems = F.sort_array(F.transform(F.col("inv"), lambda x: F.struct(
-        x["unit_id"].alias("unit_id"), x["inventory_id"].alias("inventory_id"),
-        x["product_name"].alias("product_name"), x["unit_size"].alias("unit_size"),
-        x["stock"].alias("stock"),
-        F.coalesce(_lookup(dem_c, x["unit_id"], "buy"), F.lit(0.0)).alias("buy"),
-        _has(edg_c, x["unit_id"]).alias("has_edge"),
-        _lookup(edg_c, x["unit_id"], "q").alias("q"))), asc=False)
-
-    init = F.struct(F.array().cast(T.ArrayType(_OUT)).alias("out"),
-                    F.lit(None).cast("int").alias("next_unit"),
-                    F.lit(None).cast("double").alias("m"))
-
-    def step(acc: Column, x: Column) -> Column:
-        buy = F.when(acc["next_unit"].eqNullSafe(x["unit_id"]), x["buy"] + acc["m"]).otherwise(x["buy"])
-        short = (x["unit_id"] > S.BASE_UNIT) & F.coalesce(buy > x["stock"], F.lit(False))
-        m = F.ceil(F.try_divide(buy - x["stock"], x["q"])).cast("double")
-        stock = F.when(short, x["stock"] + m * x["q"]).otherwise(x["stock"]) - buy
-        row = F.struct(x["inventory_id"].alias("inventory_id"), x["product_name"].alias("product_name"),
-                       x["unit_id"].alias("unit_id"), x["unit_size"].alias("unit_size"), stock.alias("stock"))
-        return F.struct(F.array_append(acc["out"], row).alias("out"),
-                        F.when(short & x["has_edge"], x["unit_id"] - 1).alias("next_unit"),
-                        m.alias("m"))
-
-    folded = grouped.select("product_id", F.explode(F.aggregate(elems, init, step)["out"]).alias("r"))
+    folded = grouped.select("product_id", F.expr(_ELEMS).alias("elems")) \
+        .select("product_id", F.explode(F.expr(_FOLD)).alias("r"))
     return folded.select(
         F.col("r.inventory_id").alias("inventory_id"), "product_id",
         F.col("r.product_name").alias("product_name"), F.col("r.unit_id").alias("unit_id"),
