@@ -81,12 +81,14 @@ class Posting:
 
 
 def post_invoices(store: TableStore, status: str = S.STATUS_INVOICE, parity: bool = False,
-                  invoice: DataFrame | None = None) -> Posting:
+                  invoice: DataFrame | None = None, txn: DataFrame | None = None,
+                  conversion: DataFrame | None = None) -> Posting:
     """Post the open ``status`` invoices of the store: gate, cascade, mark.
 
     ``invoice`` is an edited invoice table (e.g. statuses changed in a grid)
     to post instead of the stored one; it is written with the posting, so a
-    refused posting writes nothing, edits included.
+    refused posting writes nothing, edits included. ``txn`` and ``conversion``
+    are only read; they default to the store's tables.
 
     1. inventory rows with a duplicate (product, unit) key are set aside (they
        pass through unchanged and are returned as ``rejects``);
@@ -98,8 +100,8 @@ def post_invoices(store: TableStore, status: str = S.STATUS_INVOICE, parity: boo
     4. the commit marker switches both tables together.
     """
     inventory = store.read("inventory")
-    conversion = store.read("size_conversion")
-    txn = store.read("txn")
+    conversion = store.read("size_conversion") if conversion is None else conversion
+    txn = store.read("txn") if txn is None else txn
     invoice = store.read("invoice") if invoice is None else invoice
 
     valid, rejects = split_duplicates(inventory, list(S.KEYS["inventory"]))

@@ -237,8 +237,9 @@ def q_keyed_match(spark, d):
 
 
 def q_post_invoices(spark, d):
-    store = Ledger(spark, d).fork(["inventory", "size_conversion", "txn", "invoice"])
-    posting.post_invoices(store)
+    L = Ledger(spark, d)
+    store = L.fork(["inventory", "invoice"])   # the two tables a posting rewrites
+    posting.post_invoices(store, txn=L.txn, conversion=L.size_conversion)
     return store.read("inventory")
 
 
