@@ -3,8 +3,8 @@
 * ``read_parquet_table`` / ``read_csv_table``: a table directory read with its
   declared schema (no inference; blank CSV cells become NULL).
 * ``TableStore``: versioned tables under one shared folder. A replacement
-  writes ``<table>/v=<n>`` next to the version being read (overwriting the path
-  a plan reads fails in Spark), then writes the one-row commit marker
+  writes a new folder next to the version being read (overwriting the path a
+  plan reads fails in Spark), then writes the one-row commit marker
   ``_commits/v=<n>`` last. Readers take, per table, the newest committed
   version, so a failed job leaves the previous versions in force, and several
   tables written under one version switch together.
@@ -12,7 +12,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -49,82 +52,160 @@ def write_csv_table(df: DataFrame, path: str) -> None:
         .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").csv(path)
 
 
-_MARKER = T.StructType([T.StructField("tables", T.ArrayType(T.StringType()))])
+_MARKER = T.StructType([
+    T.StructField("tables", T.ArrayType(T.StringType())),
+    T.StructField("paths", T.ArrayType(T.StringType())),
+    T.StructField("buckets", T.IntegerType()),
+])
 
 # Directory partitioning of the stored ledger tables: the direction filter of
 # every demand / supply query and the status filter of every invoice query
 # prune whole directories instead of reading and filtering rows.
 PARTITION_BY = {"txn": ["txn_type"], "invoice": ["status"]}
 
+# Bucketing (hash of the key into a fixed number of files): transaction lines
+# and invoices are co-located by invoice, so the line-to-invoice joins and the
+# per-invoice aggregates read matching buckets without shuffling either table.
+BUCKET_BY = {"txn": "invoice_id", "invoice": "invoice_id"}
+
+
+@dataclass(frozen=True)
+class Entry:
+    version: int
+    path: str
+    buckets: int
+
 
 class TableStore:
-    """Versioned ledger tables in one folder (see module doc)."""
+    """Versioned ledger tables in one folder (see module doc).
+
+    Every staged table goes to a fresh folder ``<table>/v=<n>-<attempt>``; the
+    commit marker ``_commits/v=<n>`` lists the tables, their folders and the
+    bucket count, and is written last. Bucketed tables are written and read
+    through the session catalog under a name derived from the folder; a
+    session that does not know the name registers it over the files.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None,
-                 schemas: dict[str, T.StructType] | None = None):
+                 schemas: dict[str, T.StructType] | None = None, buckets: int | None = None):
         self.spark = spark
         self.root = (root or scratch_path(spark, "store")).rstrip("/")
         self.schemas = schemas or S.TABLES
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._entries: dict[str, dict[int, Entry]] | None = None
+        self._staged: dict[int, dict[str, Entry]] = {}
 
-    def path(self, table: str, version: int) -> str:
-        return f"{self.root}/{table}/v={version}"
-
-    def _commits(self) -> DataFrame | None:
+    # ---- commit markers ----------------------------------------------------
+    def refresh(self) -> None:
+        """Re-read the commit markers (one small read; markers are metadata)."""
         try:
-            return self.spark.read.parquet(f"{self.root}/_commits")
+            rows = self.spark.read.parquet(f"{self.root}/_commits").collect()
         except AnalysisException:
-            return None
+            rows = []
+        entries: dict[str, dict[int, Entry]] = {}
+        for r in rows:
+            for t, path in zip(r["tables"], r["paths"]):
+                entries.setdefault(t, {})[int(r["v"])] = Entry(int(r["v"]), path, int(r["buckets"]))
+        self._entries = entries
+
+    def _committed(self) -> dict[str, dict[int, Entry]]:
+        if self._entries is None:
+            self.refresh()
+        return self._entries
 
     def version(self, table: str | None = None) -> int:
-        """Newest committed version (of ``table``); 0 when there is none.
-        Reads the small marker table and returns one number."""
-        c = self._commits()
-        if c is None:
-            return 0
-        if table is not None:
-            c = c.where(F.array_contains("tables", table))
-        v = c.agg(F.max("v")).first()[0]
-        return int(v or 0)
+        """Newest committed version (of ``table``); 0 when there is none."""
+        e = self._committed()
+        vs = [v for t, by_v in e.items() if table in (None, t) for v in by_v]
+        return max(vs, default=0)
 
     def versions(self) -> dict[str, int]:
-        """Newest committed version of every table, from one read of the markers."""
-        c = self._commits()
-        if c is None:
-            return {}
-        rows = c.select("v", F.explode("tables").alias("t")).groupBy("t").agg(F.max("v").alias("v")).collect()
-        return {r["t"]: int(r["v"]) for r in rows}
+        return {t: max(by_v) for t, by_v in self._committed().items()}
+
+    # ---- reading ---------------------------------------------------------------
+    def _entry(self, table: str, version: int | None) -> Entry:
+        if version is not None and table in self._staged.get(version, {}):
+            return self._staged[version][table]
+        by_v = self._committed().get(table, {})
+        if not by_v or (version is not None and version not in by_v):
+            self.refresh()
+            by_v = self._committed().get(table, {})
+        if not by_v:
+            raise KeyError(f"table {table!r} has no committed version in {self.root}")
+        return by_v[version if version is not None else max(by_v)]
+
+    def _catalog_name(self, table: str, path: str) -> str:
+        return f"tallyhouse_{table}_{hashlib.sha1(path.encode()).hexdigest()[:16]}"
+
+    def _register(self, table: str, entry: Entry) -> str:
+        name = self._catalog_name(table, entry.path)
+        if not self.spark.catalog.tableExists(name):
+            schema = self.schemas[table]
+            parts = PARTITION_BY.get(table, [])
+            cols = [f for f in schema.fields if f.name not in parts] + [schema[p] for p in parts]
+            ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols)
+            key = BUCKET_BY[table]
+            part_sql = f"PARTITIONED BY ({', '.join(parts)})" if parts else ""
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet {part_sql} "
+                f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {entry.buckets} BUCKETS LOCATION '{entry.path}'")
+            if parts:
+                self.spark.sql(f"MSCK REPAIR TABLE {name}")
+        return name
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
-        v = version or self.version(table)
-        if v == 0:
-            raise KeyError(f"table {table!r} has no committed version in {self.root}")
+        entry = self._entry(table, version)
         schema = self.schemas[table]
+        if table in BUCKET_BY:
+            df = self.spark.table(self._register(table, entry))
+        else:
+            df = read_parquet_table(self.spark, entry.path, schema)
         # partition columns come back last: restore the declared column order
-        return read_parquet_table(self.spark, self.path(table, v), schema).select(*schema.fieldNames())
-
-    def _write(self, name: str, df: DataFrame, mode: str, version: int) -> None:
-        w = conform(df, self.schemas[name]).write.mode(mode)
-        if name in PARTITION_BY:
-            w = w.partitionBy(*PARTITION_BY[name])
-        w.parquet(self.path(name, version))
+        return df.select(*schema.fieldNames())
+
+    # ---- writing ---------------------------------------------------------------
+    def _write(self, name: str, df: DataFrame, mode: str, entry: Entry) -> None:
+        out = conform(df, self.schemas[name])
+        parts = PARTITION_BY.get(name, [])
+        if name in BUCKET_BY:
+            key = BUCKET_BY[name]
+            # one write task per bucket: each bucket is written as one file per
+            # directory instead of one per (task, bucket)
+            w = out.repartition(entry.buckets, key).write.mode(mode)
+            if parts:
+                w = w.partitionBy(*parts)
+            w.bucketBy(entry.buckets, key).sortBy(key).option("path", entry.path) \
+                .saveAsTable(self._catalog_name(name, entry.path))
+        else:
+            w = out.write.mode(mode)
+            if parts:
+                w = w.partitionBy(*parts)
+            w.parquet(entry.path)
 
     def stage(self, frames: dict[str, DataFrame]) -> int:
-        """Write every frame under the next version, uncommitted. The tables
-        are written by concurrent jobs (one thread each submits its job)."""
-        v = self.version() + 1
-        if len(frames) == 1:
-            for name, df in frames.items():
-                self._write(name, df, "overwrite", v)
-            return v
-        with ThreadPoolExecutor(max_workers=min(8, len(frames))) as pool:
-            for f in [pool.submit(self._write, name, df, "overwrite", v) for name, df in frames.items()]:
-                f.result()
+        """Write every frame under the next version, uncommitted, each into a
+        fresh folder. The tables are written by concurrent jobs."""
+        v = max(self.version(), max(self._staged, default=0)) + 1
+        entries = {n: Entry(v, f"{self.root}/{n}/v={v}-{uuid.uuid4().hex[:8]}", self.buckets) for n in frames}
+        self._staged[v] = entries
+        jobs = [(n, df, "overwrite", entries[n]) for n, df in frames.items()]
+        if len(jobs) == 1:
+            self._write(*jobs[0])
+        else:
+            with ThreadPoolExecutor(max_workers=min(8, len(jobs))) as pool:
+                for f in [pool.submit(self._write, *j) for j in jobs]:
+                    f.result()
         return v
 
     def commit(self, version: int, tables: list[str]) -> int:
         """Make a staged version visible: write its marker (the last write)."""
-        marker = self.spark.createDataFrame([(list(tables),)], _MARKER)
+        staged = self._staged.pop(version)
+        marker = self.spark.createDataFrame(
+            [([t for t in tables], [staged[t].path for t in tables], self.buckets)], _MARKER)
         marker.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_commits/v={version}")
+        committed = self._committed()
+        for t in tables:
+            committed.setdefault(t, {})[version] = staged[t]
         return version
 
     def replace(self, frames: dict[str, DataFrame]) -> int:
@@ -135,8 +216,10 @@ class TableStore:
         """Append rows (matched by column name) to the current version of a
         table; the first append creates version 1 of it. The write is one job,
         committed by Spark's output committer."""
-        v = self.version(table)
-        if v == 0:
+        if self.version(table) == 0:
             return self.replace({table: rows})
-        self._write(table, rows, "append", v)
-        return v
+        entry = self._entry(table, None)
+        if table in BUCKET_BY:
+            self._register(table, entry)
+        self._write(table, rows, "append", entry)
+        return entry.version
