@@ -12,7 +12,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -55,7 +54,6 @@ def write_csv_table(df: DataFrame, path: str) -> None:
 _MARKER = T.StructType([
     T.StructField("tables", T.ArrayType(T.StringType())),
     T.StructField("paths", T.ArrayType(T.StringType())),
-    T.StructField("buckets", T.IntegerType()),
 ])
 
 # Directory partitioning of the stored ledger tables: the direction filter of
@@ -63,35 +61,31 @@ _MARKER = T.StructType([
 # prune whole directories instead of reading and filtering rows.
 PARTITION_BY = {"txn": ["txn_type"], "invoice": ["status"]}
 
-# Bucketing (hash of the key into a fixed number of files): transaction lines
-# and invoices are co-located by invoice, so the line-to-invoice joins and the
-# per-invoice aggregates read matching buckets without shuffling either table.
-BUCKET_BY = {"txn": "invoice_id", "invoice": "invoice_id"}
+# No bucketing by invoice: a bucketed scan gives all lines of a hot invoice
+# (possibly a third of the table) to one task, in the join and in per-invoice
+# aggregates alike, and AQE cannot split a scan. Shuffled plans pre-aggregate
+# before the exchange and let AQE split a skewed join partition.
 
 
 @dataclass(frozen=True)
 class Entry:
     version: int
     path: str
-    buckets: int
 
 
 class TableStore:
     """Versioned ledger tables in one folder (see module doc).
 
-    Every staged table goes to a fresh folder ``<table>/v=<n>-<attempt>``; the
-    commit marker ``_commits/v=<n>`` lists the tables, their folders and the
-    bucket count, and is written last. Bucketed tables are written and read
-    through the session catalog under a name derived from the folder; a
-    session that does not know the name registers it over the files.
+    Every staged table goes to a fresh folder ``<table>/v=<n>-<attempt>`` (a
+    failed attempt's files are never read or overwritten); the commit marker
+    ``_commits/v=<n>`` lists the tables and their folders and is written last.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None,
-                 schemas: dict[str, T.StructType] | None = None, buckets: int | None = None):
+                 schemas: dict[str, T.StructType] | None = None):
         self.spark = spark
         self.root = (root or scratch_path(spark, "store")).rstrip("/")
         self.schemas = schemas or S.TABLES
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._entries: dict[str, dict[int, Entry]] | None = None
         self._staged: dict[int, dict[str, Entry]] = {}
 
@@ -105,7 +99,7 @@ class TableStore:
         entries: dict[str, dict[int, Entry]] = {}
         for r in rows:
             for t, path in zip(r["tables"], r["paths"]):
-                entries.setdefault(t, {})[int(r["v"])] = Entry(int(r["v"]), path, int(r["buckets"]))
+                entries.setdefault(t, {})[int(r["v"])] = Entry(int(r["v"]), path)
         self._entries = entries
 
     def _committed(self) -> dict[str, dict[int, Entry]]:
@@ -134,59 +128,24 @@ class TableStore:
             raise KeyError(f"table {table!r} has no committed version in {self.root}")
         return by_v[version if version is not None else max(by_v)]
 
-    def _catalog_name(self, table: str, path: str) -> str:
-        return f"tallyhouse_{table}_{hashlib.sha1(path.encode()).hexdigest()[:16]}"
-
-    def _register(self, table: str, entry: Entry) -> str:
-        name = self._catalog_name(table, entry.path)
-        if not self.spark.catalog.tableExists(name):
-            schema = self.schemas[table]
-            parts = PARTITION_BY.get(table, [])
-            cols = [f for f in schema.fields if f.name not in parts] + [schema[p] for p in parts]
-            ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols)
-            key = BUCKET_BY[table]
-            part_sql = f"PARTITIONED BY ({', '.join(parts)})" if parts else ""
-            self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet {part_sql} "
-                f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {entry.buckets} BUCKETS LOCATION '{entry.path}'")
-            if parts:
-                self.spark.sql(f"MSCK REPAIR TABLE {name}")
-        return name
-
     def read(self, table: str, version: int | None = None) -> DataFrame:
         entry = self._entry(table, version)
         schema = self.schemas[table]
-        if table in BUCKET_BY:
-            df = self.spark.table(self._register(table, entry))
-        else:
-            df = read_parquet_table(self.spark, entry.path, schema)
         # partition columns come back last: restore the declared column order
-        return df.select(*schema.fieldNames())
+        return read_parquet_table(self.spark, entry.path, schema).select(*schema.fieldNames())
 
     # ---- writing ---------------------------------------------------------------
     def _write(self, name: str, df: DataFrame, mode: str, entry: Entry) -> None:
-        out = conform(df, self.schemas[name])
-        parts = PARTITION_BY.get(name, [])
-        if name in BUCKET_BY:
-            key = BUCKET_BY[name]
-            # one write task per bucket: each bucket is written as one file per
-            # directory instead of one per (task, bucket)
-            w = out.repartition(entry.buckets, key).write.mode(mode)
-            if parts:
-                w = w.partitionBy(*parts)
-            w.bucketBy(entry.buckets, key).sortBy(key).option("path", entry.path) \
-                .saveAsTable(self._catalog_name(name, entry.path))
-        else:
-            w = out.write.mode(mode)
-            if parts:
-                w = w.partitionBy(*parts)
-            w.parquet(entry.path)
+        w = conform(df, self.schemas[name]).write.mode(mode)
+        if name in PARTITION_BY:
+            w = w.partitionBy(*PARTITION_BY[name])
+        w.parquet(entry.path)
 
     def stage(self, frames: dict[str, DataFrame]) -> int:
         """Write every frame under the next version, uncommitted, each into a
         fresh folder. The tables are written by concurrent jobs."""
         v = max(self.version(), max(self._staged, default=0)) + 1
-        entries = {n: Entry(v, f"{self.root}/{n}/v={v}-{uuid.uuid4().hex[:8]}", self.buckets) for n in frames}
+        entries = {n: Entry(v, f"{self.root}/{n}/v={v}-{uuid.uuid4().hex[:8]}") for n in frames}
         self._staged[v] = entries
         jobs = [(n, df, "overwrite", entries[n]) for n, df in frames.items()]
         if len(jobs) == 1:
@@ -201,7 +160,7 @@ class TableStore:
         """Make a staged version visible: write its marker (the last write)."""
         staged = self._staged.pop(version)
         marker = self.spark.createDataFrame(
-            [([t for t in tables], [staged[t].path for t in tables], self.buckets)], _MARKER)
+            [([t for t in tables], [staged[t].path for t in tables])], _MARKER)
         marker.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_commits/v={version}")
         committed = self._committed()
         for t in tables:
@@ -219,7 +178,5 @@ class TableStore:
         if self.version(table) == 0:
             return self.replace({table: rows})
         entry = self._entry(table, None)
-        if table in BUCKET_BY:
-            self._register(table, entry)
         self._write(table, rows, "append", entry)
         return entry.version
