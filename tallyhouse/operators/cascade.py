@@ -16,9 +16,13 @@ The result is S - B for every inventory row, exactly once; demand for a
 (product, unit) without an inventory row is dropped.
 
 Plan: inventory rows, demand rows and adjacent edges are unioned and grouped
-once by product (one shuffle; arrays hold at most one element per unit of the
-ladder when keys are unique), folded with ``aggregate`` over the units in
-descending order, and exploded back to rows. No join, no UDF.
+once by product, folded with ``aggregate`` over the units in descending order,
+and exploded back to rows. No UDF. Every product group is bounded by the unit
+ladder: inventory rows with a duplicate or missing (product, unit) key or a
+unit off the ladder are not folded but pass through unchanged (they are the
+rejects of ``keys.split_duplicates``); edges are reduced to one per (product,
+unit) and demand is taken per ladder unit before the grouping. A product hot
+in the transaction lines arrives already summed (partial aggregate).
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from .keys import split_duplicates
 
 _OUT = T.StructType([
     T.StructField("inventory_id", T.LongType()),
@@ -38,10 +43,17 @@ _OUT = T.StructType([
 ])
 
 
+_LADDER = [u for u, _ in S.UNIT_LADDER]
+
+
 def adjacent_edges(conversion: DataFrame) -> DataFrame:
-    """(product_id, unit_id, q): the edge (unit - 1) -> unit of each product."""
-    return conversion.where(F.col("original_unit_id") == F.col("convert_unit_id") - 1).select(
-        "product_id", F.col("convert_unit_id").alias("unit_id"), F.col("convert_quantity").alias("q"))
+    """(product_id, unit_id, q): the edge (unit - 1) -> unit of each product,
+    one per (product, unit). Of duplicate edges (an invalid table) the smallest
+    quantity is taken, so the choice is deterministic."""
+    e = conversion.where((F.col("original_unit_id") == F.col("convert_unit_id") - 1)
+                         & F.col("convert_unit_id").isin(_LADDER) & F.col("product_id").isNotNull())
+    return e.groupBy("product_id", F.col("convert_unit_id").alias("unit_id")).agg(
+        F.min("convert_quantity").alias("q"))
 
 
 # The fold, as one SQL expression (parsed once on the JVM side; building it
@@ -73,21 +85,32 @@ _FOLD = f"""aggregate(elems,
     acc -> acc.out)"""
 
 
-def stock_cascade(inventory: DataFrame, conversion: DataFrame, demand: DataFrame) -> DataFrame:
+def cascade_rows(inventory: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows the cascade folds, rows it passes through unchanged)."""
+    return split_duplicates(inventory, ["product_id", "unit_id"], F.col("unit_id").isin(_LADDER))
+
+
+def stock_cascade(inventory: DataFrame, conversion: DataFrame, demand: DataFrame,
+                  validated: bool = False) -> DataFrame:
     """Inventory after posting ``demand`` (product_id, unit_id, quantity).
 
-    Expects unique (product_id, unit_id) in ``inventory`` and unique edges; run
-    ``keys.split_duplicates`` first on untrusted tables (``post_invoices``
-    does). Output: inventory_id, product_id, product_name, unit_id,
-    unit_size, stock.
+    Output: inventory_id, product_id, product_name, unit_id, unit_size, stock;
+    every inventory row exactly once. ``validated=True`` states that
+    ``inventory`` already holds only the rows ``cascade_rows`` would fold
+    (``post_invoices`` checks them itself), which skips the key check.
     """
+    passed = None
+    if not validated:
+        inventory, passed = cascade_rows(inventory)
     p = F.col("product_id")
+    demand = demand.where(p.isNotNull() & F.col("unit_id").isin(_LADDER)) \
+        .groupBy("product_id", "unit_id").agg(F.sum("quantity").alias("quantity"))
     inv = inventory.select(p, F.struct(
         F.col("unit_id").cast("int").alias("unit_id"), "inventory_id", "product_name", "unit_size",
         F.col("stock").cast("double").alias("stock")).alias("inv"))
-    dem = demand.where(p.isNotNull()).select(p, F.struct(
+    dem = demand.select(p, F.struct(
         F.col("unit_id").cast("int").alias("unit_id"), F.col("quantity").cast("double").alias("buy")).alias("dem"))
-    edg = adjacent_edges(conversion).where(p.isNotNull()).select(p, F.struct(
+    edg = adjacent_edges(conversion).select(p, F.struct(
         F.col("unit_id").cast("int").alias("unit_id"), F.col("q").cast("double").alias("q")).alias("edg"))
 
     grouped = (inv.unionByName(dem, allowMissingColumns=True)
@@ -99,7 +122,10 @@ def stock_cascade(inventory: DataFrame, conversion: DataFrame, demand: DataFrame
 
     folded = grouped.select("product_id", F.expr(_ELEMS).alias("elems")) \
         .select("product_id", F.explode(F.expr(_FOLD)).alias("r"))
-    return folded.select(
+    out = folded.select(
         F.col("r.inventory_id").alias("inventory_id"), "product_id",
         F.col("r.product_name").alias("product_name"), F.col("r.unit_id").alias("unit_id"),
         F.col("r.unit_size").alias("unit_size"), F.col("r.stock").alias("stock"))
+    if passed is not None:
+        out = out.unionByName(passed.select(*out.columns))
+    return out

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def split_duplicates(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key is unique and complete, all other rows).
+def split_duplicates(df: DataFrame, keys: list[str], valid: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is unique and complete, all other rows). ``valid`` is an
+    optional extra row condition; rows failing it are rejected too.
 
     The duplicate keys are found by a grouped count (partial counts per task,
     so one hot key costs one row per task in the shuffle), then matched back
     with semi / anti joins; no window buffers a whole key group.
     """
     complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    if valid is not None:
+        complete = complete & F.coalesce(valid, F.lit(False))
     dup_keys = (df.where(complete).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
                 .where(F.col("_n") > 1).select(*keys))
     keyed = df.where(complete)

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..sources.tables import TableStore
-from .cascade import stock_cascade
+from .cascade import cascade_rows, stock_cascade
 from .demand import demand
-from .keys import split_duplicates
 from .units import demand_in_packs, stock_in_packs
 
 
@@ -90,8 +89,9 @@ def post_invoices(store: TableStore, status: str = S.STATUS_INVOICE, parity: boo
     refused posting writes nothing, edits included. ``txn`` and ``conversion``
     are only read; they default to the store's tables.
 
-    1. inventory rows with a duplicate (product, unit) key are set aside (they
-       pass through unchanged and are returned as ``rejects``);
+    1. inventory rows with a duplicate or missing (product, unit) key or a unit
+       off the ladder are set aside (they pass through unchanged and are
+       returned as ``rejects``);
     2. the gate: ``parity`` checks ``PAID`` demand with the inner join, the
        default checks ``status`` demand with every product; one boolean comes
        back to the driver;
@@ -104,7 +104,7 @@ def post_invoices(store: TableStore, status: str = S.STATUS_INVOICE, parity: boo
     txn = store.read("txn") if txn is None else txn
     invoice = store.read("invoice") if invoice is None else invoice
 
-    valid, rejects = split_duplicates(inventory, list(S.KEYS["inventory"]))
+    valid, rejects = cascade_rows(inventory)
     # The demand (the one aggregate over the transaction lines) is computed once
     # for the gate and the cascade: checkpointed into the shared folder, it is
     # product x unit sized.
@@ -114,7 +114,7 @@ def post_invoices(store: TableStore, status: str = S.STATUS_INVOICE, parity: boo
     if not gate.first()["sufficient"]:
         return Posting(False, store.version(), "insufficient stock", rejects)
 
-    new_inventory = stock_cascade(valid, conversion, open_demand).unionByName(rejects)
+    new_inventory = stock_cascade(valid, conversion, open_demand, validated=True).unionByName(rejects)
     version = store.stage({"inventory": new_inventory, "invoice": mark_processed(invoice, status)})
     if not parity:
         staged = store.read("inventory", version)
