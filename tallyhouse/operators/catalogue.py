@@ -32,15 +32,19 @@ def _ladder_ids() -> Column:
     return F.array(*[F.lit(u) for u, _ in S.UNIT_LADDER])
 
 
-def conversion_edges(unit_size: DataFrame, product_ids=None) -> DataFrame:
+def conversion_edges(unit_size: DataFrame, product_ids=None, validated: bool = False) -> DataFrame:
     """Every (coarser, finer) unit pair of a product, quantities left blank.
 
     Instead of a self join on product with ``x.unit < y.unit`` (all pairs of a
     product), each unit row is expanded to the finer ladder ids (at most two)
     and joined to the unit table on the full key (product, unit): an equi join
-    whose output is bounded by the ladder.
+    whose output is bounded by the ladder. Rows with a duplicate or missing
+    key get no edge (``validated=True`` skips that check for a table known to
+    be valid), so a duplicated key cannot multiply into all its pairs.
     """
     us = _only(unit_size, product_ids)
+    if not validated:
+        us = split_duplicates(us, ["product_id", "unit_id"])[0]
     x = us.select(
         "product_id", "product_name",
         F.col("unit_id").alias("original_unit_id"), F.col("unit_size").alias("original_unit_size"),
@@ -111,6 +115,6 @@ def onboard_products(new_products: DataFrame, product: DataFrame, inventory: Dat
         product=prod.select("product_id", "product_name"),
         unit_size=valid.select(*S.UNIT_SIZE.fieldNames()),
         inventory=inv,
-        size_conversion=conversion_edges(valid),
+        size_conversion=conversion_edges(valid, validated=True),
         rejects=rejects,
     )

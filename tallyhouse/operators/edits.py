@@ -12,18 +12,17 @@ from .keys import split_duplicates
 def apply_edits(base: DataFrame, edits: DataFrame, keys: list[str],
                 delete_col: str = "deleted") -> tuple[DataFrame, DataFrame]:
     """(edited table, rejected edits). ``edits`` holds whole rows (the base
-    columns) plus a boolean ``delete_col``: a row replaces the base row of its
-    key, inserts it when the key is new, or deletes it when flagged. Two edits
-    of one key are ambiguous and rejected. One full outer join on the key."""
+    columns) plus a boolean ``delete_col``: a row replaces the base row(s) of
+    its key, inserts it when the key is new, or deletes it when flagged. Two
+    edits of one key are ambiguous and rejected.
+
+    Base rows without an edit (anti join on the key) plus the kept edits: no
+    full outer join, so a hot base key is split by AQE like any left-side
+    join skew."""
     good, rejects = split_duplicates(edits, keys)
-    values = [c for c in base.columns if c not in keys]
-    e = good.select(*keys, *[F.col(c).alias(f"_e_{c}") for c in values],
-                    F.coalesce(F.col(delete_col), F.lit(False)).alias("_del"), F.lit(True).alias("_edited"))
-    j = base.join(e, keys, "full_outer")
-    out = j.where(~F.coalesce(F.col("_del"), F.lit(False))).select(*[
-        F.col(c) if c in keys else
-        F.when(F.col("_edited"), F.col(f"_e_{c}")).otherwise(F.col(c)).alias(c) for c in base.columns])
-    return out, rejects
+    untouched = base.join(good.select(*keys), keys, "left_anti")
+    kept = good.where(~F.coalesce(F.col(delete_col), F.lit(False))).select(*base.columns)
+    return untouched.select(*base.columns).unionByName(kept), rejects
 
 
 def insert_if_absent(base: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
