@@ -53,7 +53,7 @@ def write_csv_table(df: DataFrame, path: str) -> None:
 
 _MARKER = T.StructType([
     T.StructField("tables", T.ArrayType(T.StringType())),
-    T.StructField("paths", T.ArrayType(T.StringType())),
+    T.StructField("segments", T.ArrayType(T.ArrayType(T.StringType()))),
 ])
 
 # Directory partitioning of the stored ledger tables: the direction filter of
@@ -66,19 +66,25 @@ PARTITION_BY = {"txn": ["txn_type"], "invoice": ["status"]}
 # aggregates alike, and AQE cannot split a scan. Shuffled plans pre-aggregate
 # before the exchange and let AQE split a skewed join partition.
 
+SEGMENT = "segment"
+
 
 @dataclass(frozen=True)
 class Entry:
     version: int
-    path: str
+    segments: tuple[str, ...]
 
 
 class TableStore:
     """Versioned ledger tables in one folder (see module doc).
 
-    Every staged table goes to a fresh folder ``<table>/v=<n>-<attempt>`` (a
-    failed attempt's files are never read or overwritten); the commit marker
-    ``_commits/v=<n>`` lists the tables and their folders and is written last.
+    A table lives under ``<root>/<table>/segment=<id>/``; a version of a table
+    is a list of segments. A replacement writes one new segment, an append
+    writes one new segment and keeps the previous ones, so appends never touch
+    committed files and several tables (replaced or appended) switch together
+    under one commit marker ``_commits/v=<n>``, written last. A read is one
+    scan of the table folder pruned to the version's segments. Segments of a
+    failed attempt are never listed in a marker and so never read.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None,
@@ -98,8 +104,8 @@ class TableStore:
             rows = []
         entries: dict[str, dict[int, Entry]] = {}
         for r in rows:
-            for t, path in zip(r["tables"], r["paths"]):
-                entries.setdefault(t, {})[int(r["v"])] = Entry(int(r["v"]), path)
+            for t, segs in zip(r["tables"], r["segments"]):
+                entries.setdefault(t, {})[int(r["v"])] = Entry(int(r["v"]), tuple(segs))
         self._entries = entries
 
     def _committed(self) -> dict[str, dict[int, Entry]]:
@@ -131,52 +137,66 @@ class TableStore:
     def read(self, table: str, version: int | None = None) -> DataFrame:
         entry = self._entry(table, version)
         schema = self.schemas[table]
-        # partition columns come back last: restore the declared column order
-        return read_parquet_table(self.spark, entry.path, schema).select(*schema.fieldNames())
+        with_segment = T.StructType(schema.fields + [T.StructField(SEGMENT, T.StringType())])
+        df = read_parquet_table(self.spark, f"{self.root}/{table}", with_segment)
+        # the segment filter prunes directories; the declared column order is restored
+        return df.where(F.col(SEGMENT).isin(list(entry.segments))).select(*schema.fieldNames())
 
     # ---- writing ---------------------------------------------------------------
-    def _write(self, name: str, df: DataFrame, mode: str, entry: Entry) -> None:
-        w = conform(df, self.schemas[name]).write.mode(mode)
+    def _write(self, name: str, df: DataFrame, segment: str) -> None:
+        w = conform(df, self.schemas[name]).write.mode("overwrite")
         if name in PARTITION_BY:
             w = w.partitionBy(*PARTITION_BY[name])
-        w.parquet(entry.path)
-
-    def stage(self, frames: dict[str, DataFrame]) -> int:
-        """Write every frame under the next version, uncommitted, each into a
-        fresh folder. The tables are written by concurrent jobs."""
+        w.parquet(f"{self.root}/{name}/{SEGMENT}={segment}")
+
+    def stage(self, replace: dict[str, DataFrame] | None = None,
+              append: dict[str, DataFrame] | None = None) -> int:
+        """Write the replacements and appends of one change under the next
+        version, uncommitted, as concurrent jobs (one thread submits each)."""
+        replace, append = replace or {}, append or {}
+        if set(replace) & set(append):
+            raise ValueError("a table is either replaced or appended to in one change")
         v = max(self.version(), max(self._staged, default=0)) + 1
-        entries = {n: Entry(v, f"{self.root}/{n}/v={v}-{uuid.uuid4().hex[:8]}") for n in frames}
+        jobs, entries = [], {}
+        for name, df in [*replace.items(), *append.items()]:
+            seg = f"{v}-{uuid.uuid4().hex[:8]}"
+            before = self._entry(name, None).segments if name in append and self.version(name) else ()
+            entries[name] = Entry(v, (*before, seg))
+            jobs.append((name, df, seg))
         self._staged[v] = entries
-        jobs = [(n, df, "overwrite", entries[n]) for n, df in frames.items()]
         if len(jobs) == 1:
             self._write(*jobs[0])
-        else:
+        elif jobs:
             with ThreadPoolExecutor(max_workers=min(8, len(jobs))) as pool:
                 for f in [pool.submit(self._write, *j) for j in jobs]:
                     f.result()
         return v
 
-    def commit(self, version: int, tables: list[str]) -> int:
+    def commit(self, version: int, tables: list[str] | None = None) -> int:
         """Make a staged version visible: write its marker (the last write)."""
         staged = self._staged.pop(version)
-        marker = self.spark.createDataFrame(
-            [([t for t in tables], [staged[t].path for t in tables])], _MARKER)
+        tables = list(staged) if tables is None else list(tables)
+        marker = self.spark.createDataFrame([(tables, [list(staged[t].segments) for t in tables])], _MARKER)
         marker.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_commits/v={version}")
         committed = self._committed()
         for t in tables:
             committed.setdefault(t, {})[version] = staged[t]
         return version
 
+    def change(self, replace: dict[str, DataFrame] | None = None,
+               append: dict[str, DataFrame] | None = None) -> int:
+        """Replace and append to several tables in one commit."""
+        return self.commit(self.stage(replace, append))
+
     def replace(self, frames: dict[str, DataFrame]) -> int:
         """Replace whole tables (together) with new versions."""
-        return self.commit(self.stage(frames), list(frames))
+        return self.change(replace=frames)
 
     def append(self, table: str, rows: DataFrame) -> int:
-        """Append rows (matched by column name) to the current version of a
-        table; the first append creates version 1 of it. The write is one job,
-        committed by Spark's output committer."""
-        if self.version(table) == 0:
-            return self.replace({table: rows})
-        entry = self._entry(table, None)
-        self._write(table, rows, "append", entry)
-        return entry.version
+        """Append rows (matched by column name) to a table as a new version;
+        the committed files of earlier versions are not touched."""
+        return self.change(append={table: rows})
+
+    def compact(self, table: str) -> int:
+        """Rewrite a table's segments as one."""
+        return self.replace({table: self.read(table)})
