@@ -38,12 +38,15 @@ def submit_invoices(store: TableStore, headers: DataFrame, drafts: DataFrame,
     return Applied(store.change(append={"txn": lines, "invoice": invoices}), rejects)
 
 
-def record_purchases(store: TableStore, entries: DataFrame) -> Applied:
+def record_purchases(store: TableStore, entries: DataFrame, tag: str | None = None) -> Applied:
     """Add purchased quantities to stock and the entries to the purchase
-    history, together."""
+    history, together. ``tag`` marks the commit (a batch recorded under a
+    tag that is already committed is skipped: version 0)."""
+    if tag is not None and store.has_tag(tag):
+        return Applied(0)
     rows = build_purchase_rows(entries, store.read("product"), store.read("unit_size"))
     stock = replenish_purchases(store.read("inventory"), rows)
-    return Applied(store.change(replace={"inventory": stock}, append={"purchase": rows}))
+    return Applied(store.change(replace={"inventory": stock}, append={"purchase": rows}, tag=tag))
 
 
 def add_products(store: TableStore, form: DataFrame, order_by: str = "form_order") -> Applied:

@@ -54,6 +54,7 @@ def write_csv_table(df: DataFrame, path: str) -> None:
 _MARKER = T.StructType([
     T.StructField("tables", T.ArrayType(T.StringType())),
     T.StructField("segments", T.ArrayType(T.ArrayType(T.StringType()))),
+    T.StructField("tag", T.StringType()),
 ])
 
 # Directory partitioning of the stored ledger tables: the direction filter of
@@ -93,6 +94,7 @@ class TableStore:
         self.root = (root or scratch_path(spark, "store")).rstrip("/")
         self.schemas = schemas or S.TABLES
         self._entries: dict[str, dict[int, Entry]] | None = None
+        self._tags: set[str] = set()
         self._staged: dict[int, dict[str, Entry]] = {}
 
     # ---- commit markers ----------------------------------------------------
@@ -107,6 +109,12 @@ class TableStore:
             for t, segs in zip(r["tables"], r["segments"]):
                 entries.setdefault(t, {})[int(r["v"])] = Entry(int(r["v"]), tuple(segs))
         self._entries = entries
+        self._tags = {r["tag"] for r in rows if r["tag"] is not None}
+
+    def has_tag(self, tag: str) -> bool:
+        """Whether a commit carrying ``tag`` exists (e.g. a stream batch id)."""
+        self.refresh()
+        return tag in self._tags
 
     def _committed(self) -> dict[str, dict[int, Entry]]:
         if self._entries is None:
@@ -172,21 +180,24 @@ class TableStore:
                     f.result()
         return v
 
-    def commit(self, version: int, tables: list[str] | None = None) -> int:
-        """Make a staged version visible: write its marker (the last write)."""
+    def commit(self, version: int, tables: list[str] | None = None, tag: str | None = None) -> int:
+        """Make a staged version visible: write its marker (the last write).
+        ``tag`` is stored in the marker (see ``has_tag``)."""
         staged = self._staged.pop(version)
         tables = list(staged) if tables is None else list(tables)
-        marker = self.spark.createDataFrame([(tables, [list(staged[t].segments) for t in tables])], _MARKER)
+        marker = self.spark.createDataFrame([(tables, [list(staged[t].segments) for t in tables], tag)], _MARKER)
         marker.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_commits/v={version}")
         committed = self._committed()
         for t in tables:
             committed.setdefault(t, {})[version] = staged[t]
+        if tag is not None:
+            self._tags.add(tag)
         return version
 
     def change(self, replace: dict[str, DataFrame] | None = None,
-               append: dict[str, DataFrame] | None = None) -> int:
+               append: dict[str, DataFrame] | None = None, tag: str | None = None) -> int:
         """Replace and append to several tables in one commit."""
-        return self.commit(self.stage(replace, append))
+        return self.commit(self.stage(replace, append), tag=tag)
 
     def replace(self, frames: dict[str, DataFrame]) -> int:
         """Replace whole tables (together) with new versions."""
