@@ -29,6 +29,14 @@ def _out_lines(L: Ledger) -> DataFrame:
     return L.txn.where(F.col("txn_type") == S.TXN_OUT)
 
 
+def money_as_double(df: DataFrame) -> DataFrame:
+    """Listing output: money columns as double. The tables keep exact
+    decimal(18,2) and every sum is taken in decimal before conversion; only
+    the listed values are converted (the same conversion as the oracle's)."""
+    return df.select(*[F.col(f.name).cast("double").alias(f.name) if f.dataType == S.MONEY else F.col(f.name)
+                       for f in df.schema.fields])
+
+
 def q_inventory_scan(spark, d):
     return Ledger(spark, d).inventory
 
@@ -56,7 +64,7 @@ def q_enrich_lines(spark, d):
 def q_invoice_detail(spark, d):
     L = Ledger(spark, d)
     selection = L.invoice.where(F.col("status") == S.STATUS_INVOICE)
-    return reports.invoice_detail(selection, L.txn)
+    return money_as_double(reports.invoice_detail(selection, L.txn))
 
 
 def q_demand_out(spark, d):
@@ -85,11 +93,11 @@ def q_replenish_purchases(spark, d):
 
 
 def q_purchase_history(spark, d):
-    return reports.history(Ledger(spark, d).purchase)
+    return money_as_double(reports.history(Ledger(spark, d).purchase))
 
 
 def q_transaction_history(spark, d):
-    return reports.history(Ledger(spark, d).txn)
+    return money_as_double(reports.history(Ledger(spark, d).txn))
 
 
 def q_conversion_edges(spark, d):
@@ -164,7 +172,7 @@ def q_invoice_pricing(spark, d):
 
 def q_build_invoice_lines(spark, d):
     L = Ledger(spark, d)
-    return invoicing.build_invoice_lines(L.draft_lines, L.product, L.unit_size)
+    return money_as_double(invoicing.build_invoice_lines(L.draft_lines, L.product, L.unit_size))
 
 
 def q_build_invoices(spark, d):
@@ -174,7 +182,7 @@ def q_build_invoices(spark, d):
 
 def q_purchase_rows(spark, d):
     L = Ledger(spark, d)
-    return invoicing.build_purchase_rows(L.purchase_entries, L.product, L.unit_size)
+    return money_as_double(invoicing.build_purchase_rows(L.purchase_entries, L.product, L.unit_size))
 
 
 def q_next_ids(spark, d):
@@ -194,7 +202,7 @@ def q_append_rows(spark, d):
     store.replace({"txn": L.txn.where(F.col("txn_type") == S.TXN_IN)})
     out = L.txn.where(F.col("txn_type") == S.TXN_OUT)
     store.append("txn", out.select(*reversed(out.columns)))  # by name, not by position
-    return store.read("txn")
+    return money_as_double(store.read("txn"))
 
 
 def q_replace_table(spark, d):

@@ -9,7 +9,6 @@ belong to the deployment; ``cluster_conf`` gives a starting point for a
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -76,11 +75,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared work folder."""
     return f"{work_dir(spark)}/tallyhouse/{name}-{uuid.uuid4().hex}"
 
-
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:")
-
-
-def ensure_local_parent(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(path.replace("file:", "", 1), exist_ok=True)
