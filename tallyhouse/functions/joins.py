@@ -1,0 +1,18 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def restrict_to_keys(big: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``big`` whose key occurs in ``batch`` (semi-join reduction).
+
+    Before a batch meets a large table in an outer, semi or anti join (where
+    the large table must be the build side and cannot be broadcast), the
+    table is cut down to the batch's keys: the key set is the build side of a
+    semi join, broadcast by AQE when it is small at run time, so the large
+    table is scanned but not shuffled; a large batch falls back to a
+    sort-merge semi join.
+    """
+    return big.join(batch.select(*keys).distinct(), keys, "left_semi")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.columns import whole_days
+from ..functions.joins import restrict_to_keys
 
 
 def invoice_detail(selection: DataFrame, txn: DataFrame) -> DataFrame:
@@ -36,13 +37,18 @@ def history(table: DataFrame) -> DataFrame:
 
 
 def enrich_lines(lines: DataFrame, product: DataFrame, unit_size: DataFrame) -> DataFrame:
-    """Lines with product_name and unit_size looked up by id (left joins, so a
-    line without a catalogue entry keeps NULL names). The catalogue tables
-    must have unique keys; AQE broadcasts them when they are small at run time
-    and sort-merges otherwise; nothing here forces a broadcast whose size
-    grows with the catalogue."""
-    names = product.select("product_id", "product_name")
-    units = unit_size.select("product_id", "unit_id", "unit_size")
+    """Lines with product_name and unit_size looked up by id (a line without
+    a catalogue entry keeps NULL names). The catalogue must have unique keys.
+
+    The lookup is built for the (product, unit) pairs of the lines only (a
+    partial-aggregate distinct, then semi-join reductions of the catalogue),
+    and the lines meet it in one left join on (product, unit): one exchange of
+    the lines at most, none when the lookup is small enough for AQE to
+    broadcast (a batch of draft lines against a large catalogue)."""
+    keys = lines.select("product_id", "unit_id").distinct()
+    names = restrict_to_keys(product.select("product_id", "product_name"), keys, ["product_id"])
+    units = restrict_to_keys(unit_size.select("product_id", "unit_id", "unit_size"), keys,
+                             ["product_id", "unit_id"])
+    lookup = keys.join(names, "product_id", "left").join(units, ["product_id", "unit_id"], "left")
     keep = [c for c in lines.columns if c not in ("product_name", "unit_size")]
-    return (lines.select(*keep).join(names, "product_id", "left")
-            .join(units, ["product_id", "unit_id"], "left"))
+    return lines.select(*keep).join(lookup, ["product_id", "unit_id"], "left")
