@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.ids import with_consecutive_ids
+from ..session import work_dir
 from .keys import split_duplicates
 
 
@@ -96,6 +97,7 @@ def onboard_products(new_products: DataFrame, product: DataFrame, inventory: Dat
     # offsets and the numbered products are checkpointed (to the shared
     # checkpoint folder), so the later steps reuse them instead of re-running
     # the scans, the range partitioning and the prefix sum.
+    work_dir(product.sparkSession)  # the checkpoint folder (the session's, or a local one in tests)
     nxt = next_ids(product, inventory).checkpoint()
     prod = with_consecutive_ids(new_products, [order_by], "product_id",
                                 nxt.select(F.col("next_product_id") - 1)).checkpoint()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..session import work_dir
 from ..sources.tables import TableStore
 from .cascade import cascade_rows, stock_cascade
 from .demand import demand
@@ -108,6 +109,7 @@ def post_invoices(store: TableStore, status: str = S.STATUS_INVOICE, parity: boo
     # The demand (the one aggregate over the transaction lines) is computed once
     # for the gate and the cascade: checkpointed into the shared folder, it is
     # product x unit sized.
+    work_dir(store.spark)
     open_demand = demand(txn, invoice, S.TXN_OUT, status).checkpoint()
     gate_demand = demand(txn, invoice, S.TXN_OUT, S.STATUS_PAID) if parity else open_demand
     gate = sufficiency_gate(sufficiency_of(valid, conversion, gate_demand, parity))
