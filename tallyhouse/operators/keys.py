@@ -22,6 +22,6 @@ def split_duplicates(df: DataFrame, keys: list[str], valid: Column | None = None
     dup_keys = (df.where(complete).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
                 .where(F.col("_n") > 1).select(*keys))
     keyed = df.where(complete)
-    unique = keyed.join(dup_keys, keys, "left_anti")
-    rejects = keyed.join(dup_keys, keys, "left_semi").unionByName(df.where(~complete))
+    unique = keyed.join(dup_keys, keys, "left_anti").select(*df.columns)
+    rejects = keyed.join(dup_keys, keys, "left_semi").select(*df.columns).unionByName(df.where(~complete))
     return unique, rejects
