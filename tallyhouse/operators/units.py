@@ -11,6 +11,19 @@ from .. import schemas as S
 from ..functions.columns import per_unit
 
 
+def unique_edges(conversion: DataFrame) -> DataFrame:
+    """One edge per (product, original unit, convert unit): of duplicates (an
+    invalid table) the smallest (convert, original) quantity pair, so the
+    choice is deterministic and a duplicated key cannot multiply the rows it
+    is joined to. Grouped on the join key, so the join needs no extra
+    exchange for this side."""
+    best = F.min(F.struct("convert_quantity", "original_quantity")).alias("_q")
+    return (conversion.groupBy("product_id", "original_unit_id", "convert_unit_id").agg(best)
+            .select("product_id", "original_unit_id", "convert_unit_id",
+                    F.col("_q.original_quantity").alias("original_quantity"),
+                    F.col("_q.convert_quantity").alias("convert_quantity")))
+
+
 def in_unit(quantities: DataFrame, conversion: DataFrame, value: str, alias: str,
             target_unit: int = S.FINEST_UNIT) -> DataFrame:
     """(product_id, alias): sum over a product's (unit, value) rows of value
@@ -20,7 +33,7 @@ def in_unit(quantities: DataFrame, conversion: DataFrame, value: str, alias: str
     The target unit is applied to the edge table *before* the left join (the
     literal of the original ON clause), so rows without an edge survive.
     """
-    edges = conversion.where(F.col("convert_unit_id") == target_unit).select(
+    edges = unique_edges(conversion.where(F.col("convert_unit_id") == target_unit)).select(
         "product_id", F.col("original_unit_id").alias("unit_id"), "original_quantity", "convert_quantity")
     joined = quantities.select("product_id", "unit_id", value).join(edges, ["product_id", "unit_id"], "left")
     return joined.groupBy("product_id").agg(
@@ -51,7 +64,7 @@ def available_in_unit(inventory: DataFrame, conversion: DataFrame, unit_size: Da
     expanded = inventory.select(
         "product_id", F.col("unit_id").alias("from_unit"), "stock",
         F.explode(_ladder_at_or_below(F.col("unit_id"))).alias("unit_id"))
-    edges = conversion.select(
+    edges = unique_edges(conversion).select(
         "product_id", F.col("original_unit_id").alias("from_unit"), F.col("convert_unit_id").alias("unit_id"),
         "original_quantity", "convert_quantity")
     sums = (expanded.join(edges, ["product_id", "from_unit", "unit_id"], "left")
