@@ -53,21 +53,33 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None,
     return spark
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # sessions without a local SparkContext handle
+        return None
+
+
+def app_id(spark: SparkSession) -> str:
+    return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for written tables and checkpoints.
 
     Read from ``spark.checkpoint.dir`` (the folder the cluster names). Only a
     local-mode session without that setting gets a fresh folder of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not root:
-        master = spark.sparkContext.master
+        master = spark.conf.get("spark.master", "")
         if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder for the ledger's tables")
         root = tempfile.mkdtemp(prefix="tallyhouse-")
         spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 

@@ -15,6 +15,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas as S
+from ..session import app_id
 from .fixtures import Ledger
 from .tables import TableStore
 
@@ -47,7 +48,7 @@ _LOCK = threading.Lock()
 
 
 def imported(spark: SparkSession, sf_dir: str) -> _Imported:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (app_id(spark), sf_dir.rstrip("/"))
     with _LOCK:
         if key not in _IMPORTED:
             _IMPORTED[key] = _Imported(spark, sf_dir)
