@@ -11,17 +11,14 @@ from .. import schemas as S
 from ..functions.columns import per_unit
 
 
-def unique_edges(conversion: DataFrame) -> DataFrame:
-    """One edge per (product, original unit, convert unit): of duplicates (an
-    invalid table) the smallest (convert, original) quantity pair, so the
+def unique_edges(conversion: DataFrame, keys: list[str]) -> DataFrame:
+    """One edge per ``keys`` (the join keys the edges are used on): of
+    duplicates (an invalid table) the smallest quantities are taken, so the
     choice is deterministic and a duplicated key cannot multiply the rows it
-    is joined to. Grouped on the join key, so the join needs no extra
-    exchange for this side."""
-    best = F.min(F.struct("convert_quantity", "original_quantity")).alias("_q")
-    return (conversion.groupBy("product_id", "original_unit_id", "convert_unit_id").agg(best)
-            .select("product_id", "original_unit_id", "convert_unit_id",
-                    F.col("_q.original_quantity").alias("original_quantity"),
-                    F.col("_q.convert_quantity").alias("convert_quantity")))
+    is joined to. A hash aggregate grouped on the join keys: the join needs
+    no further exchange for this side."""
+    return conversion.groupBy(*keys).agg(F.min("original_quantity").alias("original_quantity"),
+                                         F.min("convert_quantity").alias("convert_quantity"))
 
 
 def in_unit(quantities: DataFrame, conversion: DataFrame, value: str, alias: str,
@@ -33,8 +30,8 @@ def in_unit(quantities: DataFrame, conversion: DataFrame, value: str, alias: str
     The target unit is applied to the edge table *before* the left join (the
     literal of the original ON clause), so rows without an edge survive.
     """
-    edges = unique_edges(conversion.where(F.col("convert_unit_id") == target_unit)).select(
-        "product_id", F.col("original_unit_id").alias("unit_id"), "original_quantity", "convert_quantity")
+    edges = unique_edges(conversion.where(F.col("convert_unit_id") == target_unit)
+                         .withColumnRenamed("original_unit_id", "unit_id"), ["product_id", "unit_id"])
     joined = quantities.select("product_id", "unit_id", value).join(edges, ["product_id", "unit_id"], "left")
     return joined.groupBy("product_id").agg(
         F.sum(per_unit(F.col(value), F.col("original_quantity"), F.col("convert_quantity"))).alias(alias))
@@ -64,9 +61,8 @@ def available_in_unit(inventory: DataFrame, conversion: DataFrame, unit_size: Da
     expanded = inventory.select(
         "product_id", F.col("unit_id").alias("from_unit"), "stock",
         F.explode(_ladder_at_or_below(F.col("unit_id"))).alias("unit_id"))
-    edges = unique_edges(conversion).select(
-        "product_id", F.col("original_unit_id").alias("from_unit"), F.col("convert_unit_id").alias("unit_id"),
-        "original_quantity", "convert_quantity")
+    edges = unique_edges(conversion.withColumnRenamed("original_unit_id", "from_unit")
+                         .withColumnRenamed("convert_unit_id", "unit_id"), ["product_id", "from_unit", "unit_id"])
     sums = (expanded.join(edges, ["product_id", "from_unit", "unit_id"], "left")
             .groupBy("product_id", "unit_id")
             .agg(F.sum(per_unit(F.col("stock"), F.col("original_quantity"),
