@@ -27,12 +27,18 @@ def apply_edits(base: DataFrame, edits: DataFrame, keys: list[str],
 
 
 def insert_if_absent(base: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``incoming`` whose key is not in ``base``, one per key (the
-    first of a batch wins). Anti join against ``base`` cut down to the
-    batch's keys (``restrict_to_keys``), so a small batch does not shuffle a
-    large table; the de-duplication is an aggregate with a partial stage, so
-    a key repeated many times stays cheap."""
-    batch = incoming.dropDuplicates(keys)
+    """Rows of ``incoming`` whose key is not in ``base``, one per key: of a
+    batch's rows with one key the smallest (a deterministic choice). Anti
+    join against ``base`` cut down to the batch's keys (``restrict_to_keys``),
+    so a small batch does not shuffle a large table; the de-duplication is an
+    aggregate with a partial stage, so a key repeated many times stays cheap."""
+    others = [c for c in incoming.columns if c not in keys]
+    batch = incoming
+    if others:
+        batch = (incoming.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row"))
+                 .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others]).select(*incoming.columns))
+    else:
+        batch = incoming.distinct()
     return batch.join(restrict_to_keys(base.select(*keys), batch, keys), keys, "left_anti")
 
 
