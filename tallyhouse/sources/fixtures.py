@@ -1,11 +1,12 @@
 """Domain tables derived from the driver's TPC-H-like parquet tables.
 
 The mapping is the one written down in FIXTURES.md section 2. Every table is a
-lazy DataFrame over the parquet scans, so Catalyst prunes the columns a query
-does not use and pushes its filters into the scans. Two tables come in a lean
-form without name lookups (``txn_lines``, ``invoice_core``): they are exact
-column subsets of ``txn`` / ``invoice`` and spare the lookup joins when a query
-needs neither names nor prices.
+lazy DataFrame over the parquet scans, so Catalyst prunes unused columns and
+pushes filters into the scans. The registered queries do not run on these
+views directly: ``sources.ledger`` writes them once into the ledger's table
+store and the queries read the stored tables. Two tables also come in a lean
+form without name lookups (``txn_lines``, ``invoice_core``), exact column
+subsets of ``txn`` / ``invoice`` that spare the lookup joins for direct use.
 """
 
 from __future__ import annotations
