@@ -42,21 +42,23 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema) -> DataFrame:
-    """``mapInArrow`` with one output batch (or dict of columns) for each input
-    batch. Batches are held to BATCH_ROWS rows and BATCH_BYTES bytes, so that
-    very long texts do not add up in a Python worker."""
+def map_stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow``. Batches are held to BATCH_ROWS rows and BATCH_BYTES
+    bytes, so that very long texts do not add up in a Python worker."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
 
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema) -> DataFrame:
+    """``map_stream`` with a dict of columns for each batch that has rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                out = fn(b)
-                yield pa.RecordBatch.from_pydict(out) if isinstance(out, dict) else out
+                yield pa.RecordBatch.from_pydict(fn(b))
 
-    return df.mapInArrow(run, schema)
+    return map_stream(df, run, schema)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

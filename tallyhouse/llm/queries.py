@@ -5,10 +5,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, rules, urls
+from . import licenses, line_dedup, packing, quality, rules, urls
 from .common import table
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op1_quality_classifier(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op5_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.deduplicated(docs, line_dedup.build(docs)).select("doc_id", "_lines.*")
