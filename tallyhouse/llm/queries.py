@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, packing, quality, rules, urls
+from . import licenses, line_dedup, packing, pieces, quality, rules, toxicity, urls
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op2_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op3_sentencepiece(spark, sf_dir):
+    model = pieces.load(tokenizer_file("piece_bpe_32k.model"))
+    return pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model).drop("decoded")
+
+
 def op5_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.deduplicated(docs, line_dedup.build(docs)).select("doc_id", "_lines.*")
@@ -41,4 +46,8 @@ def op9_url_filter(spark, sf_dir):
     return urls.filter_urls(table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
 
+def op10_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}

@@ -22,7 +22,7 @@ from .common import SPACE, map_batches, repeated_words, texts, word_codes
 FAILS = {
     "few_words": "n_words < 50",
     "repeated_words": "100 * n_repeat_words > 50 * n_words",
-    "symbols": "2 * n_symbols > n_words",
+    "symbols": "4 * n_symbols > n_words",
     "dup_lines": "n_text_lines >= 4 and 2 * n_dup_lines > n_text_lines",
     "long_words": "n_words > 0 and word_chars > 20 * n_words",
     "upper_case": "2 * n_upper > word_chars",

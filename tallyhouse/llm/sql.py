@@ -38,7 +38,7 @@ m AS (SELECT d.r, doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '
       FROM d JOIN w USING (r) LEFT JOIN marks USING (r)),
 q AS (SELECT *, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
         (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
-        + (CASE WHEN 2 * n_symbols > n_words THEN 4 ELSE 0 END)
+        + (CASE WHEN 4 * n_symbols > n_words THEN 4 ELSE 0 END)
         + (CASE WHEN len(ls) >= 4 AND 2 * (len(ls) - len(list_distinct(ls))) > len(ls) THEN 8 ELSE 0 END)
         + (CASE WHEN n_words > 0 AND word_chars > 20 * n_words THEN 16 ELSE 0 END)
         + (CASE WHEN 2 * n_upper > word_chars THEN 32 ELSE 0 END) + (CASE WHEN 2 * n_exclaim > n_words THEN 64 ELSE 0 END) AS failed
