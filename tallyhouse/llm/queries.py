@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, packing, pieces, quality, rules, toxicity, urls
+from . import fingerprints, licenses, line_dedup, packing, pieces, quality, rules, toxicity, urls
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op3_sentencepiece(spark, sf_dir):
     return pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model).drop("decoded")
 
 
+def op4_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.deduplicated(docs, line_dedup.build(docs)).select("doc_id", "_lines.*")
