@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, line_dedup, packing, pieces, quality, rules, toxicity, urls
+from . import fingerprints, licenses, line_dedup, lsh_forest, packing, pieces, quality, rules, toxicity, urls
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op5_line_dedup(spark, sf_dir):
     return line_dedup.deduplicated(docs, line_dedup.build(docs)).select("doc_id", "_lines.*")
 
 
+def op6_ngram_join(spark, sf_dir):
+    return lsh_forest.join(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark, sf_dir):
     rows = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")), rules.PRODUCTION)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
