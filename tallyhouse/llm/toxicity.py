@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from .common import held_out, map_stream, texts, training_labels
 
 WINDOW, STRIDE = 32, 24
-SAMPLE = 3000              # documents of each label that training reads at most
-SAMPLE_WORDS = 4000        # words of a sampled document, from a hashed place of it
+SAMPLE = 1500              # documents of each label that training reads at most
+SAMPLE_WORDS = 2000        # words of a sampled document, from a hashed place of it
 HIDDEN, ATTENTION = 8, 8
 WORD_DIM, GRAM_DIM, GRAM_ROWS = 3, 4, 4096
 PREFIXES = (3, 4, 5)
 MIN_DOCS = 4               # a word or prefix in fewer training documents has no log odds
-ROUNDS, EPOCHS, BATCH, RATE, DECAY = 3, 4, 128, 0.01, 1e-4
+ROUNDS, EPOCHS, BATCH, RATE, DECAY = 3, 4, 128, 0.01, 1e-3
 STEPS = 150                # updates of a round at least, in as many more epochs
 CHUNK = 2048               # windows that are scored together
 CACHE_WORDS = 300_000      # then a task's word cache starts anew
@@ -70,13 +70,11 @@ def window_starts(n: int) -> list[int]:
 # ---- inputs
 
 
-def log_odds(docs: list[tuple[set, int]]) -> dict:
-    """Class log odds of each key, from the documents that hold it."""
-    n, seen = Counter(y for _, y in docs), {0: Counter(), 1: Counter()}
-    for keys, y in docs:
-        seen[y].update(keys)
+def log_odds(seen: dict[int, Counter], n: dict[int, int]) -> dict:
+    """Class log odds of each key, from how many of the n documents of each
+    label hold it."""
     out = {}
-    for k in set(seen[0]) | set(seen[1]):
+    for k in {k for y in (0, 1) for k, c in seen[y].items() if c > 1}:
         a, b = seen[1][k], seen[0][k]
         if a + b >= MIN_DOCS:
             z = math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1))
@@ -240,16 +238,22 @@ def train(sample: list[tuple[int, bytes, int]], share: float | None = None, seed
         rate = share if share is not None else float(labels.mean()) if len(labels) else 0.5
         net.shift = math.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
         return net
-    keyed = [({k for w in set(words) for k in keys_of(w)}, y) for words, y, _ in docs]
-    halves = [log_odds([k for k, d in zip(keyed, docs, strict=True) if d[2] != half]) for half in (0, 1)]
-    odds = log_odds(keyed)
+    seen = {(half, y): Counter() for half in (0, 1) for y in (0, 1)}
+    n = Counter((half, y) for _, y, half in docs)
+    for words, y, half in docs:
+        seen[half, y].update({k for w in set(words) for k in keys_of(w)})
+    halves = [log_odds({y: seen[1 - half, y] for y in (0, 1)}, {y: n[1 - half, y] for y in (0, 1)}) for half in (0, 1)]
+    odds = log_odds({y: seen[0, y] + seen[1, y] for y in (0, 1)}, {y: n[0, y] + n[1, y] for y in (0, 1)})
+    del seen
     net = Network.fresh(odds, {w: i + 1 for i, w in enumerate(sorted(k for k in odds if isinstance(k, bytes)))}, seed)
 
     rows: dict[tuple[bytes, int], int] = {}
     coded = [np.array([rows.setdefault((w, half), len(rows)) for w in words]) for words, _, half in docs]
-    table = np.array([odds_row(w, halves[half]) for w, half in rows], np.float32)
+    table = np.empty((len(rows), 1 + len(PREFIXES)), np.float32)
+    for (w, half), i in rows.items():
+        table[i] = odds_row(w, halves[half])
     word = np.array([net.vocabulary.get(w, 0) for w, _ in rows])
-    grams = [np.array(trigrams(w)) for w, _ in rows]
+    grams = [np.array(trigrams(w), np.int16) for w, _ in rows]
     owner, windows = [], []
     for i, ids in enumerate(coded):
         for s in window_starts(len(ids)):
@@ -269,7 +273,7 @@ def train(sample: list[tuple[int, bytes, int]], share: float | None = None, seed
         other = first + rng.integers(0, np.diff(np.append(first, len(owner))))
         chosen = np.concatenate([best, other[labels == 0]])  # a random window of a toxic text may be clean
         target = np.concatenate([labels, labels[labels == 0]])
-        for _ in range(max(EPOCHS, math.ceil(STEPS * BATCH / len(chosen)))):
+        for _ in range(max(EPOCHS, math.ceil(STEPS / math.ceil(len(chosen) / BATCH)))):
             order = rng.permutation(len(chosen))
             for s in range(0, len(order), BATCH):
                 part = order[s : s + BATCH]
@@ -352,8 +356,7 @@ class Scorer:
                 short_of.append(i)
         out = np.full(len(batch), -np.inf)
         if not len(self.forward):
-            self.learn([b""])
-            del self.rows[b""]
+            self.learn([b"^"])  # a row for the padding of empty windows to point at
         if full:
             np.maximum.at(out, np.concatenate(full_of), self.net.logits(self.forward, self.backward, np.concatenate(full)))
         if short:
