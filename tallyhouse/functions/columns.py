@@ -14,6 +14,11 @@ def add_days_hours(ts: Column, days: Column, hours: Column) -> Column:
     return ts + F.make_dt_interval(days.cast("int"), hours.cast("int"))
 
 
+def line_total(price: Column, quantity: Column) -> Column:
+    """price x quantity in exact decimals (quantities to four places)."""
+    return (price * quantity.cast("decimal(14,4)")).cast(S.MONEY)
+
+
 def whole_days(start: Column, end: Column) -> Column:
     """Whole days from start to end, truncated toward zero (a fractional day
     difference cast to int); not a count of midnights."""

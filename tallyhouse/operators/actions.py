@@ -27,25 +27,36 @@ from .posting import replenish_purchases
 class Applied:
     version: int
     rejects: DataFrame | None = None
+    orphans: DataFrame | None = None
 
 
-def submit_invoices(store: TableStore, headers: DataFrame, drafts: DataFrame,
-                    third_tier: str = "repeat") -> Applied:
-    """Append the lines and invoices of draft invoices in one commit."""
-    lines = build_invoice_lines(drafts, store.read("product"), store.read("unit_size"))
+def _table(store: TableStore, name: str, given: DataFrame | None) -> DataFrame:
+    """A table that an action only reads: the given one, else the store's."""
+    return store.read(name) if given is None else given
+
+
+def submit_invoices(store: TableStore, headers: DataFrame, drafts: DataFrame, third_tier: str = "repeat",
+                    product: DataFrame | None = None, unit_size: DataFrame | None = None) -> Applied:
+    """Append the lines and invoices of draft invoices in one commit. Headers
+    without a vendor come back as ``rejects``, lines without an accepted header
+    as ``orphans``."""
+    lines = build_invoice_lines(drafts, _table(store, "product", product), _table(store, "unit_size", unit_size))
     invoices, rejects = build_invoices(headers, lines, third_tier)
-    lines = lines.join(invoices.select("invoice_id"), "invoice_id", "left_semi")
-    return Applied(store.change(append={"txn": lines, "invoice": invoices}), rejects)
+    ids = invoices.select("invoice_id")
+    orphans = lines.join(ids, "invoice_id", "left_anti")
+    lines = lines.join(ids, "invoice_id", "left_semi")
+    return Applied(store.change(append={"txn": lines, "invoice": invoices}), rejects, orphans)
 
 
-def record_purchases(store: TableStore, entries: DataFrame, tag: str | None = None) -> Applied:
+def record_purchases(store: TableStore, entries: DataFrame, tag: str | None = None,
+                     product: DataFrame | None = None, unit_size: DataFrame | None = None) -> Applied:
     """Add purchased quantities to stock and the entries to the purchase
     history, together. ``tag`` marks the commit (a batch recorded under a
     tag that is already committed is skipped: version 0)."""
     if tag is not None and store.has_tag(tag):
         return Applied(0)
-    rows = build_purchase_rows(entries, store.read("product"), store.read("unit_size"))
-    stock = replenish_purchases(store.read("inventory"), rows)
+    rows = build_purchase_rows(entries, _table(store, "product", product), _table(store, "unit_size", unit_size))
+    stock = replenish_purchases(store.read("inventory"), entries)
     return Applied(store.change(replace={"inventory": stock}, append={"purchase": rows}, tag=tag))
 
 

@@ -21,7 +21,7 @@ and exploded back to rows. No UDF. Every product group is bounded by the unit
 ladder: inventory rows with a duplicate or missing (product, unit) key or a
 unit off the ladder are not folded but pass through unchanged (they are the
 rejects of ``keys.split_duplicates``); edges are reduced to one per (product,
-unit) and demand is taken per ladder unit before the grouping. A product hot
+unit), blank where ambiguous, and demand is taken per ladder unit before the grouping. A product hot
 in the transaction lines arrives already summed (partial aggregate).
 """
 
@@ -48,12 +48,12 @@ _LADDER = [u for u, _ in S.UNIT_LADDER]
 
 def adjacent_edges(conversion: DataFrame) -> DataFrame:
     """(product_id, unit_id, q): the edge (unit - 1) -> unit of each product,
-    one per (product, unit). Of duplicate edges (an invalid table) the smallest
-    quantity is taken, so the choice is deterministic."""
+    one per (product, unit). The quantity of an edge that stands more than once
+    is taken as blank: no factor is made up, a short row's stock becomes NULL."""
     e = conversion.where((F.col("original_unit_id") == F.col("convert_unit_id") - 1)
                          & F.col("convert_unit_id").isin(_LADDER) & F.col("product_id").isNotNull())
     return e.groupBy("product_id", F.col("convert_unit_id").alias("unit_id")).agg(
-        F.min("convert_quantity").alias("q"))
+        F.when(F.count(F.lit(1)) == 1, F.min("convert_quantity")).alias("q"))
 
 
 # The fold, as one SQL expression (parsed once on the JVM side; building it

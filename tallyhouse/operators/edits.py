@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import restrict_to_keys
 from .keys import split_duplicates
 
 
@@ -28,9 +27,8 @@ def apply_edits(base: DataFrame, edits: DataFrame, keys: list[str],
 
 def insert_if_absent(base: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``incoming`` whose key is not in ``base``, one per key: of a
-    batch's rows with one key the smallest (a deterministic choice). Anti
-    join against ``base`` cut down to the batch's keys (``restrict_to_keys``),
-    so a small batch does not shuffle a large table; the de-duplication is an
+    batch's rows with one key the smallest (a deterministic choice). One anti
+    join against the keys of ``base``; the de-duplication is an
     aggregate with a partial stage, so a key repeated many times stays cheap."""
     others = [c for c in incoming.columns if c not in keys]
     batch = incoming
@@ -39,14 +37,13 @@ def insert_if_absent(base: DataFrame, incoming: DataFrame, keys: list[str]) -> D
                  .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others]).select(*incoming.columns))
     else:
         batch = incoming.distinct()
-    return batch.join(restrict_to_keys(base.select(*keys), batch, keys), keys, "left_anti")
+    return batch.join(base.select(*keys), keys, "left_anti")
 
 
 def keyed_match(attempts: DataFrame, users: DataFrame, secret_col: str = "password_plain") -> DataFrame:
     """Attempts (email, plain secret) whose email and sha-256 of the secret
     match an approved user: one hash per row, then a semi join on both
-    columns against the users cut down to the attempted keys."""
+    columns."""
     hashed = attempts.select("email", F.sha2(F.col(secret_col), 256).alias("password"))
-    approved = restrict_to_keys(users.where(F.col("approved") == 1).select("email", "password"),
-                                hashed, ["email", "password"])
+    approved = users.where(F.col("approved") == 1).select("email", "password")
     return hashed.join(approved, ["email", "password"], "left_semi").select("email")

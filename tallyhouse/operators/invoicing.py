@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.columns import add_days_hours, chained_net, tier_discounts
+from ..functions.columns import add_days_hours, chained_net, line_total, tier_discounts
 from .reports import enrich_lines
 
 
@@ -44,13 +44,13 @@ def invoice_pricing(lines: DataFrame, third_tier: str = "repeat") -> DataFrame:
 def build_invoice_lines(drafts: DataFrame, product: DataFrame, unit_size: DataFrame) -> DataFrame:
     """Transaction rows from draft lines (invoice_id, line_no, product_id,
     txn_type, quantity, unit_id, price): a transaction id from the source keys,
-    names looked up by id, total = price x whole quantity."""
+    names looked up by id, total = price x quantity, rounded to cents once."""
     lines = drafts.select(
         F.concat_ws("_", F.col("txn_type"), F.col("product_id").cast("string"), F.col("invoice_id").cast("string"),
                     F.col("line_no").cast("string")).alias("transaction_id"),
         "invoice_id", "product_id", "txn_type", "quantity", "unit_id",
         F.col("price").cast(S.MONEY).alias("price"))
-    lines = lines.withColumn("total_price", (F.col("price") * F.col("quantity").cast("int")).cast(S.MONEY))
+    lines = lines.withColumn("total_price", line_total(F.col("price"), F.col("quantity")))
     return enrich_lines(lines, product, unit_size).select(*S.TXN.fieldNames())
 
 

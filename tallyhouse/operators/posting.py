@@ -72,12 +72,26 @@ def mark_processed(invoice: DataFrame, status: str = S.STATUS_INVOICE) -> DataFr
         "is_process", F.when(F.col("status") == status, F.lit(1)).otherwise(F.col("is_process")).cast("int"))
 
 
+def open_lines(txn: DataFrame, invoice: DataFrame, status: str = S.STATUS_INVOICE) -> DataFrame:
+    """The OUT lines of open ``status`` invoices."""
+    open_ids = invoice.where((F.col("status") == status) & (F.col("is_process") == 0)).select("invoice_id")
+    return txn.where(F.col("txn_type") == S.TXN_OUT).join(open_ids, "invoice_id", "left_semi")
+
+
+def unserved_lines(lines: DataFrame, valid: DataFrame) -> DataFrame:
+    """Lines whose (product, unit) is no row of ``valid`` inventory: the unit is
+    off the ladder, the row is missing, or its key is repeated. Posting cannot
+    take their stock."""
+    return lines.join(valid.select("product_id", "unit_id"), ["product_id", "unit_id"], "left_anti")
+
+
 @dataclass
 class Posting:
     committed: bool
     version: int
     reason: str
-    rejects: DataFrame | None = None
+    rejects: DataFrame | None = None         # inventory rows that the cascade passes through
+    unserved: DataFrame | None = None        # open lines without a usable inventory row
 
 
 def post_invoices(store: TableStore, status: str = S.STATUS_INVOICE, parity: bool = False,
@@ -93,12 +107,17 @@ def post_invoices(store: TableStore, status: str = S.STATUS_INVOICE, parity: boo
     1. inventory rows with a duplicate or missing (product, unit) key or a unit
        off the ladder are set aside (they pass through unchanged and are
        returned as ``rejects``);
-    2. the gate: ``parity`` checks ``PAID`` demand with the inner join, the
+    2. open lines without a usable inventory row are returned as ``unserved``.
+       Their invoices are held back whole: no line of theirs is posted and they
+       stay unmarked (``parity`` posts their other lines and marks them, as the
+       original does);
+    3. the gate: ``parity`` checks ``PAID`` demand with the inner join, the
        default checks ``status`` demand with every product; one boolean comes
        back to the driver;
-    3. new inventory (cascade) and invoices (flag) are staged under one
-       version; unless ``parity``, a NULL or negative stock refuses the posting;
-    4. the commit marker switches both tables together.
+    4. new inventory (cascade) and invoices (flag) are staged under one
+       version; unless ``parity``, a NULL or negative stock refuses the posting
+       and drops what was staged;
+    5. the commit marker switches both tables together.
     """
     inventory = store.read("inventory")
     conversion = store.read("size_conversion") if conversion is None else conversion
@@ -108,20 +127,31 @@ def post_invoices(store: TableStore, status: str = S.STATUS_INVOICE, parity: boo
     valid, rejects = cascade_rows(inventory)
     # The demand (the one aggregate over the transaction lines) is computed once
     # for the gate and the cascade: checkpointed into the shared folder, it is
-    # product x unit sized.
+    # product x unit sized. So are the ids of the invoices held back.
     work_dir(store.spark)
-    open_demand = demand(txn, invoice, S.TXN_OUT, status).checkpoint()
+    unserved = unserved_lines(open_lines(txn, invoice, status), valid)
+    postable, held = invoice, None
+    if not parity:
+        held = unserved.select("invoice_id").distinct().checkpoint()
+        postable = invoice.join(held, "invoice_id", "left_anti")
+    open_demand = demand(txn, postable, S.TXN_OUT, status).checkpoint()
     gate_demand = demand(txn, invoice, S.TXN_OUT, S.STATUS_PAID) if parity else open_demand
     gate = sufficiency_gate(sufficiency_of(valid, conversion, gate_demand, parity))
     if not gate.first()["sufficient"]:
-        return Posting(False, store.version(), "insufficient stock", rejects)
+        return Posting(False, store.version(), "insufficient stock", rejects, unserved)
 
     new_inventory = stock_cascade(valid, conversion, open_demand, validated=True).unionByName(rejects)
-    version = store.stage({"inventory": new_inventory, "invoice": mark_processed(invoice, status)})
+    marked = mark_processed(invoice, status)
+    if held is not None:
+        kept = held.withColumn("_held", F.lit(True))
+        flag = F.when(F.col("_held"), F.col("is_process")).when(F.col("status") == status, F.lit(1)).otherwise(F.col("is_process"))
+        marked = invoice.join(kept, "invoice_id", "left").withColumn("is_process", flag.cast("int")).select(*invoice.columns)
+    version = store.stage({"inventory": new_inventory, "invoice": marked})
     if not parity:
         staged = store.read("inventory", version)
         bad = staged.agg(F.count(F.when(F.col("stock").isNull() | (F.col("stock") < 0), 1)).alias("n")).first()["n"]
         if bad:
-            return Posting(False, store.version(), f"{bad} inventory rows would have NULL or negative stock", rejects)
+            store.abort(version)
+            return Posting(False, store.version(), f"{bad} inventory rows would have NULL or negative stock", rejects, unserved)
     store.commit(version, ["inventory", "invoice"])
-    return Posting(True, version, "posted", rejects)
+    return Posting(True, version, "posted", rejects, unserved)

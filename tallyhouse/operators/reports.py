@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.columns import whole_days
-from ..functions.joins import restrict_to_keys
+from .keys import split_duplicates
 
 
 def invoice_detail(selection: DataFrame, txn: DataFrame) -> DataFrame:
@@ -37,18 +37,25 @@ def history(table: DataFrame) -> DataFrame:
 
 
 def enrich_lines(lines: DataFrame, product: DataFrame, unit_size: DataFrame) -> DataFrame:
-    """Lines with product_name and unit_size looked up by id (a line without
-    a catalogue entry keeps NULL names). The catalogue must have unique keys.
-
-    The lookup is built for the (product, unit) pairs of the lines only (a
-    partial-aggregate distinct, then semi-join reductions of the catalogue),
-    and the lines meet it in one left join on (product, unit): one exchange of
-    the lines at most, none when the lookup is small enough for AQE to
-    broadcast (a batch of draft lines against a large catalogue)."""
-    keys = lines.select("product_id", "unit_id").distinct()
-    names = restrict_to_keys(product.select("product_id", "product_name"), keys, ["product_id"])
-    units = restrict_to_keys(unit_size.select("product_id", "unit_id", "unit_size"), keys,
-                             ["product_id", "unit_id"])
-    lookup = keys.join(names, "product_id", "left").join(units, ["product_id", "unit_id"], "left")
+    """Lines with product_name and unit_size looked up by id, one row for each
+    line. A line without a catalogue entry keeps NULL names, and so does one
+    whose catalogue key is repeated (``catalogue_rejects``): it cannot multiply
+    the line.
+
+    The catalogue becomes one row per product with a map from unit to name (as
+    many entries as the product has units); the lines are scanned once and meet
+    it in one left join on product, broadcast or not as AQE finds its size."""
+    one = F.count(F.lit(1)) == 1
+    names = product.where(F.col("product_id").isNotNull()).groupBy("product_id").agg(F.when(one, F.min("product_name")).alias("_name"))
+    units = (unit_size.where(F.col("product_id").isNotNull() & F.col("unit_id").isNotNull()).groupBy("product_id", "unit_id")
+             .agg(F.when(one, F.min("unit_size")).alias("unit_size"))
+             .groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("unit_id", "unit_size"))).alias("_units")))
+    lookup = names.join(units, "product_id", "full")
     keep = [c for c in lines.columns if c not in ("product_name", "unit_size")]
-    return lines.select(*keep).join(lookup, ["product_id", "unit_id"], "left")
+    return lines.select(*keep).join(lookup, "product_id", "left").select(
+        *keep, F.col("_name").alias("product_name"), F.col("_units")[F.col("unit_id")].alias("unit_size"))
+
+
+def catalogue_rejects(product: DataFrame, unit_size: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Product and unit rows whose key is repeated or incomplete."""
+    return split_duplicates(product, ["product_id"])[1], split_duplicates(unit_size, ["product_id", "unit_id"])[1]

@@ -9,23 +9,37 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.columns import per_unit
+from .keys import split_duplicates
 
 
 def unique_edges(conversion: DataFrame, keys: list[str]) -> DataFrame:
-    """One edge per ``keys`` (the join keys the edges are used on): of
-    duplicates (an invalid table) the smallest quantities are taken, so the
-    choice is deterministic and a duplicated key cannot multiply the rows it
-    is joined to. A hash aggregate grouped on the join keys: the join needs
-    no further exchange for this side."""
-    return conversion.groupBy(*keys).agg(F.min("original_quantity").alias("original_quantity"),
-                                         F.min("convert_quantity").alias("convert_quantity"))
+    """One row per ``keys`` (the join keys the edges are used on), so that a
+    repeated key cannot multiply the rows it is joined to. An edge that stands
+    more than once is invalid: ``ambiguous`` is set and no quantity is taken
+    from it (its rows are ``edge_rejects``). A hash aggregate grouped on the
+    join keys: the join needs no further exchange for this side."""
+    one = F.count(F.lit(1)) == 1
+    return conversion.groupBy(*keys).agg(F.when(one, F.min("original_quantity")).alias("original_quantity"),
+                                         F.when(one, F.min("convert_quantity")).alias("convert_quantity"),
+                                         (~one).alias("ambiguous"))
+
+
+def edge_rejects(conversion: DataFrame) -> DataFrame:
+    """Edges whose (product, from unit, to unit) is repeated or incomplete."""
+    return split_duplicates(conversion, ["product_id", "original_unit_id", "convert_unit_id"])[1]
+
+
+def _known_sum(value: Column) -> Column:
+    """The sum, NULL as soon as one row needs an ambiguous edge."""
+    return F.when(~F.coalesce(F.bool_or("ambiguous"), F.lit(False)), F.sum(value))
 
 
 def in_unit(quantities: DataFrame, conversion: DataFrame, value: str, alias: str,
             target_unit: int = S.FINEST_UNIT) -> DataFrame:
     """(product_id, alias): sum over a product's (unit, value) rows of value
     converted into ``target_unit`` through the direct edge unit -> target
-    (a missing edge or blank quantity counts as factor 1).
+    (a missing edge or blank quantity counts as factor 1; NULL where a row
+    needs an edge that is ambiguous, which the gate takes as insufficient).
 
     The target unit is applied to the edge table *before* the left join (the
     literal of the original ON clause), so rows without an edge survive.
@@ -34,7 +48,7 @@ def in_unit(quantities: DataFrame, conversion: DataFrame, value: str, alias: str
                          .withColumnRenamed("original_unit_id", "unit_id"), ["product_id", "unit_id"])
     joined = quantities.select("product_id", "unit_id", value).join(edges, ["product_id", "unit_id"], "left")
     return joined.groupBy("product_id").agg(
-        F.sum(per_unit(F.col(value), F.col("original_quantity"), F.col("convert_quantity"))).alias(alias))
+        _known_sum(per_unit(F.col(value), F.col("original_quantity"), F.col("convert_quantity"))).alias(alias))
 
 
 def stock_in_packs(inventory: DataFrame, conversion: DataFrame) -> DataFrame:
@@ -65,6 +79,6 @@ def available_in_unit(inventory: DataFrame, conversion: DataFrame, unit_size: Da
                          .withColumnRenamed("convert_unit_id", "unit_id"), ["product_id", "from_unit", "unit_id"])
     sums = (expanded.join(edges, ["product_id", "from_unit", "unit_id"], "left")
             .groupBy("product_id", "unit_id")
-            .agg(F.sum(per_unit(F.col("stock"), F.col("original_quantity"),
-                                F.col("convert_quantity"))).alias("available")))
+            .agg(_known_sum(per_unit(F.col("stock"), F.col("original_quantity"),
+                                     F.col("convert_quantity"))).alias("available")))
     return unit_size.select("product_id", "unit_id").join(sums, ["product_id", "unit_id"], "left")

@@ -1,6 +1,7 @@
 """The registered queries: one callable (spark, sf_dir) -> DataFrame per
-operator, each over the whole ledger tables: the driver tables of ``sf_dir`` imported
-once per application into the ledger's table store (``sources.ledger``).
+operator, each over the whole ledger tables, read through the lazy mapping of
+``sources.fixtures``: a query scans the columns it needs of the given tables,
+and nothing is copied first.
 
 Queries that exercise a sink write into a fresh folder under the session's
 shared work folder (``spark.checkpoint.dir``) and return the table read back.
@@ -14,12 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..operators import catalogue, edits, invoicing, posting, reports, units
+from ..operators import actions, catalogue, edits, invoicing, posting, reports, units
 from ..operators.cascade import stock_cascade
 from ..operators.demand import demand
 from ..session import scratch_path
-from ..sources.fixtures import AS_OF
-from ..sources.ledger import LedgerTables as Ledger
+from ..sources.fixtures import AS_OF, Ledger
 from ..sources.tables import TableStore, read_csv_table, write_csv_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -243,11 +243,116 @@ def q_keyed_match(spark, d):
     return edits.keyed_match(L.login_attempts, L.users)
 
 
-def q_post_invoices(spark, d):
+def q_register_users(spark, d):
+    """The users table after a registration batch."""
+    L = Ledger(spark, d)
+    store = TableStore(spark)
+    store.replace({"users": L.users})
+    actions.register_users(store, L.users_incoming)
+    return store.read("users")
+
+
+def refused_headers(L: Ledger) -> DataFrame:
+    """Draft headers, every thirteenth without a vendor."""
+    return L.draft_headers.withColumn("vendor", F.when(F.col("invoice_id") % 13 == 0, F.lit("")).otherwise(F.col("vendor")))
+
+
+def _submitted(spark, d) -> TableStore:
+    L = Ledger(spark, d)
+    store = TableStore(spark)
+    actions.submit_invoices(store, refused_headers(L), L.draft_lines, product=L.product, unit_size=L.unit_size)
+    return store
+
+
+def q_submit_lines(spark, d):
+    return money_as_double(_submitted(spark, d).read("txn"))
+
+
+def q_submit_invoices(spark, d):
+    return _submitted(spark, d).read("invoice")
+
+
+def q_submit_orphans(spark, d):
+    """The lines that a submission refuses with their header."""
+    L = Ledger(spark, d)
+    store = TableStore(spark)
+    done = actions.submit_invoices(store, refused_headers(L), L.draft_lines, product=L.product, unit_size=L.unit_size)
+    return money_as_double(done.orphans)
+
+
+def _purchased(spark, d) -> TableStore:
+    L = Ledger(spark, d)
+    store = TableStore(spark)
+    store.replace({"inventory": L.inventory})
+    actions.record_purchases(store, L.purchase_entries, product=L.product, unit_size=L.unit_size)
+    return store
+
+
+def q_purchase_entry_stock(spark, d):
+    return _purchased(spark, d).read("inventory")
+
+
+def q_purchase_entry_history(spark, d):
+    return money_as_double(_purchased(spark, d).read("purchase"))
+
+
+def _onboarded(spark, d):
     L = Ledger(spark, d)
-    store = L.fork(["inventory", "invoice"])   # the two tables a posting rewrites
+    return catalogue.onboard_products(L.new_products, L.product, L.inventory)
+
+
+def q_onboard_product_rows(spark, d):
+    return _onboarded(spark, d).product
+
+
+def q_onboard_unit_rows(spark, d):
+    return _onboarded(spark, d).unit_size
+
+
+def q_onboard_edges(spark, d):
+    return _onboarded(spark, d).size_conversion
+
+
+def q_onboard_rejects(spark, d):
+    return _onboarded(spark, d).rejects
+
+
+def _post(spark, d, inventory) -> TableStore:
+    L = Ledger(spark, d)
+    store = TableStore(spark)
+    store.replace({"inventory": inventory(L), "invoice": L.invoice})  # the two tables a posting rewrites
     posting.post_invoices(store, txn=L.txn, conversion=L.size_conversion)
-    return store.read("inventory")
+    return store
+
+
+def q_post_invoices(spark, d):
+    """A posting that is refused: the inventory stays as it is."""
+    return _post(spark, d, lambda L: L.inventory).read("inventory")
+
+
+def restocked(L: Ledger) -> DataFrame:
+    """Inventory after a stock-take that covers the open demand. Products with
+    all three units and no blank quantity get the balls for all of it, so that
+    the posting opens them; of the others each row gets its own demand."""
+    need = demand(L.txn, L.invoice)
+    per_product = need.groupBy("product_id").agg(F.sum("quantity").alias("_all"))
+    units = L.inventory.groupBy("product_id").agg(F.count(F.lit(1)).alias("_units"))
+    p = F.col("product_id")
+    folds = (F.col("_units") == 3) & (p % 97 != 0) & (p % 89 != 0)
+    add = F.when(folds, F.when(F.col("unit_id") == 1, F.col("_all"))).otherwise(F.col("quantity"))
+    j = L.inventory.join(need, ["product_id", "unit_id"], "left").join(per_product, "product_id", "left").join(units, "product_id")
+    return j.select(*[(F.col("stock") + F.coalesce(add, F.lit(0.0))).alias("stock") if c == "stock" else F.col(c) for c in L.inventory.columns])
+
+
+def q_post_restocked_inventory(spark, d):
+    """A posting that commits: inventory after the cascade."""
+    return _post(spark, d, restocked).read("inventory")
+
+
+def q_post_restocked_invoices(spark, d):
+    """The invoice flags after the same posting; invoices with a line that no
+    inventory row serves are held back."""
+    return _post(spark, d, restocked).read("invoice").select("invoice_id", "status", "is_process")
 
 
 QUERIES: dict[str, Query] = {

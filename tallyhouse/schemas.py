@@ -22,6 +22,7 @@ STATUS_PROCESS = "PROCESS"
 STATUS_INVOICE = "INVOICE"
 STATUS_CANCELLED = "CANCELLED"
 STATUS_PAID = "PAID"
+STATUSES = (STATUS_PROCESS, STATUS_INVOICE, STATUS_CANCELLED, STATUS_PAID)
 
 # Transaction direction.
 TXN_IN = "IN"

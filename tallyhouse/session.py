@@ -9,7 +9,6 @@ belong to the deployment; ``cluster_conf`` gives a starting point for a
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -67,16 +66,15 @@ def app_id(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for written tables and checkpoints.
 
-    Read from ``spark.checkpoint.dir`` (the folder the cluster names). Only a
-    local-mode session without that setting gets a fresh folder of its own.
+    Read from ``spark.checkpoint.dir`` (the folder the cluster names). Only
+    where that is unset, a folder in the SQL warehouse, which the driver and
+    the executors of every master share too; never a machine's own temporary
+    folder.
     """
     sc = _context(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not root:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder for the ledger's tables")
-        root = tempfile.mkdtemp(prefix="tallyhouse-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tallyhouse-work"
         spark.conf.set("spark.checkpoint.dir", root)
     if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators.catalogue import conversion_edges
-from ..functions.columns import add_days_hours
+from ..functions.columns import add_days_hours, line_total
 
 # Reference moment of the driver data: the day after the last order.
 AS_OF = "2001-08-02 00:00:00"
@@ -113,7 +113,7 @@ class Ledger:
         return t.select(
             "transaction_id", "invoice_id", "product_id", F.col("p_name").alias("product_name"),
             "txn_type", "quantity", "unit_id", usize.alias("unit_size"), price.alias("price"),
-            (price * F.col("quantity").cast("int")).cast(S.MONEY).alias("total_price"),
+            line_total(price, F.col("quantity")).alias("total_price"),
         )
 
     @cached_property
@@ -160,22 +160,23 @@ class Ledger:
     @cached_property
     def users(self) -> DataFrame:
         c = self.driver("customer")
-        return c.where(F.col("c_custkey") % 2 == 0).select(
+        return c.select(
             F.lower("c_name").alias("email"), F.sha2(F.col("c_name"), 256).alias("password"),
             (F.col("c_nationkey") % 2).cast("int").alias("approved"))
 
     @cached_property
     def users_incoming(self) -> DataFrame:
         c = self.driver("customer")
-        return c.where(F.col("c_custkey") % 3 == 0).select(
-            F.lower("c_name").alias("email"), F.sha2(F.col("c_name"), 256).alias("password"),
+        known = F.lower("c_name")
+        return c.select(
+            F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("new."), known)).otherwise(known).alias("email"), F.sha2(F.col("c_name"), 256).alias("password"),
             F.lit(0).alias("approved"))
 
     @cached_property
     def login_attempts(self) -> DataFrame:
         c = self.driver("customer")
         plain = F.when(F.col("c_custkey") % 10 == 0, F.col("c_name")).otherwise(F.lit("wrong"))
-        return c.where(F.col("c_custkey") % 5 == 0).select(
+        return c.select(
             F.lower("c_name").alias("email"), plain.alias("password_plain"))
 
     # ---- onboarding input (the product form, one row per new product) ------
@@ -186,7 +187,8 @@ class Ledger:
         return s.select(
             F.col("s_name").alias("product_name"),
             (k % 2 == 0).alias("ball"), (k % 3 == 0).alias("half_ball"),
-            (F.col("s_nationkey") != 0).alias("pack"), (F.col("s_nationkey") == 0).alias("roll"),
+            ((F.col("s_nationkey") != 0) | (k % 7 == 0)).alias("pack"),
+            ((F.col("s_nationkey") == 0) | (k % 7 == 0)).alias("roll"),
             k.alias("form_order"))
 
     # ---- drafts (input of invoice building, one row per draft line) ---------

@@ -68,6 +68,11 @@ PARTITION_BY = {"txn": ["txn_type"], "invoice": ["status"]}
 # before the exchange and let AQE split a skewed join partition.
 
 SEGMENT = "segment"
+EMPTY = "__EMPTY__"  # an empty string in a folder column
+
+
+class CommitConflict(RuntimeError):
+    """Another writer committed the version first; nothing was overwritten."""
 
 
 @dataclass(frozen=True)
@@ -83,8 +88,8 @@ class TableStore:
     is a list of segments. A replacement writes one new segment, an append
     writes one new segment and keeps the previous ones, so appends never touch
     committed files and several tables (replaced or appended) switch together
-    under one commit marker ``_commits/v=<n>``, written last. A read is one
-    scan of the table folder pruned to the version's segments. Segments of a
+    under one commit marker ``_commits/v=<n>``, written last. A read lists
+    the version's own segment folders. Segments of a
     failed attempt are never listed in a marker and so never read.
     """
 
@@ -102,7 +107,9 @@ class TableStore:
         """Re-read the commit markers (one small read; markers are metadata)."""
         try:
             rows = self.spark.read.parquet(f"{self.root}/_commits").collect()
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # anything else is not an empty store
+                raise
             rows = []
         entries: dict[str, dict[int, Entry]] = {}
         for r in rows:
@@ -145,14 +152,20 @@ class TableStore:
     def read(self, table: str, version: int | None = None) -> DataFrame:
         entry = self._entry(table, version)
         schema = self.schemas[table]
-        with_segment = T.StructType(schema.fields + [T.StructField(SEGMENT, T.StringType())])
-        df = read_parquet_table(self.spark, f"{self.root}/{table}", with_segment)
-        # the segment filter prunes directories; the declared column order is restored
-        return df.where(F.col(SEGMENT).isin(list(entry.segments))).select(*schema.fieldNames())
+        # only the version's own segment folders are listed; the base path keeps the folder columns
+        folder = f"{self.root}/{table}"
+        df = (self.spark.read.schema(schema).option("basePath", folder)
+              .parquet(*[f"{folder}/{SEGMENT}={s}" for s in entry.segments]))
+        empty = F.lit(EMPTY)
+        return df.select(*[F.when(F.col(c) == empty, F.lit("")).otherwise(F.col(c)).alias(c) if c in PARTITION_BY.get(table, ()) else F.col(c)
+                           for c in schema.fieldNames()])
 
     # ---- writing ---------------------------------------------------------------
     def _write(self, name: str, df: DataFrame, segment: str) -> None:
-        w = conform(df, self.schemas[name]).write.mode("overwrite")
+        rows = conform(df, self.schemas[name])
+        for c in PARTITION_BY.get(name, ()):  # a folder named by an empty string would be read as NULL
+            rows = rows.withColumn(c, F.when(F.col(c) == "", F.lit(EMPTY)).otherwise(F.col(c)))
+        w = rows.write.mode("errorifexists")
         if name in PARTITION_BY:
             w = w.partitionBy(*PARTITION_BY[name])
         w.parquet(f"{self.root}/{name}/{SEGMENT}={segment}")
@@ -186,7 +199,13 @@ class TableStore:
         staged = self._staged.pop(version)
         tables = list(staged) if tables is None else list(tables)
         marker = self.spark.createDataFrame([(tables, [list(staged[t].segments) for t in tables], tag)], _MARKER)
-        marker.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_commits/v={version}")
+        try:
+            marker.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/_commits/v={version}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            self.refresh()
+            raise CommitConflict(f"version {version} of {self.root} was committed by another writer; stage the change again") from e
         committed = self._committed()
         for t in tables:
             committed.setdefault(t, {})[version] = staged[t]
@@ -194,6 +213,11 @@ class TableStore:
             self._tags.add(tag)
         return version
 
+    def abort(self, version: int) -> None:
+        """Forget a staged version; its segments are in no marker, so no read
+        lists them (``vacuum`` deletes them)."""
+        self._staged.pop(version, None)
+
     def change(self, replace: dict[str, DataFrame] | None = None,
                append: dict[str, DataFrame] | None = None, tag: str | None = None) -> int:
         """Replace and append to several tables in one commit."""
@@ -211,3 +235,22 @@ class TableStore:
     def compact(self, table: str) -> int:
         """Rewrite a table's segments as one."""
         return self.replace({table: self.read(table)})
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Delete the segment folders that none of each table's newest ``keep``
+        versions reads, and return their paths. Only for a store without other
+        readers or writers at work; staged versions are kept."""
+        self.refresh()
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        gone = []
+        for table, by_v in self._committed().items():
+            live = {s for v in sorted(by_v)[-keep:] for s in by_v[v].segments}
+            live |= {s for staged in self._staged.values() if table in staged for s in staged[table].segments}
+            folder = hadoop.Path(f"{self.root}/{table}")
+            fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            for status in fs.listStatus(folder):
+                name = status.getPath().getName()
+                if name.startswith(f"{SEGMENT}=") and name.split("=", 1)[1] not in live:
+                    fs.delete(status.getPath(), True)
+                    gone.append(status.getPath().toString())
+        return gone

@@ -1,8 +1,11 @@
 """Posting driven by a stream of invoice status edits.
 
-Each micro-batch of edits (invoice_id, status, edited_at) is applied to the
-stored invoice table (the latest edit of an invoice wins) and the result is
-posted with ``post_invoices``: gate, cascade, processed flag, one commit.
+Each micro-batch of edits (invoice_id, status, edited_at) is committed to the
+stored invoice table (the latest edit of an invoice wins, of equally late ones
+the greatest status) and then ``post_invoices`` posts what is open: gate,
+cascade, processed flag, one commit. A refused posting keeps the edits: its
+invoices stay open and are tried again with the next batch. Edits with an
+unknown status or invoice come back as rejects.
 Posting is idempotent (posted invoices carry ``is_process = 1``), so a batch
 replayed after a failure does not post twice; the stream's own progress is
 kept in a checkpoint folder under the shared work folder.
@@ -31,18 +34,29 @@ EDIT = T.StructType([
 
 def apply_status_edits(invoice: DataFrame, edits: DataFrame) -> DataFrame:
     """Invoices with the latest edited status of each edited invoice."""
-    latest = edits.groupBy("invoice_id").agg(F.max_by("status", "edited_at").alias("_new_status"))
+    known = edits.where(F.col("status").isin(list(S.STATUSES)))
+    latest = known.groupBy("invoice_id").agg(F.max(F.struct("edited_at", "status"))["status"].alias("_new_status"))
     j = invoice.join(latest, "invoice_id", "left")
     return j.select(*[
         F.coalesce(F.col("_new_status"), F.col("status")).alias("status") if c == "status" else F.col(c)
         for c in invoice.columns])
 
 
+def rejected_edits(invoice: DataFrame, edits: DataFrame) -> DataFrame:
+    """Edits of an unknown status, or of an invoice that does not exist."""
+    bad = ~F.coalesce(F.col("status").isin(list(S.STATUSES)), F.lit(False))
+    missing = edits.where(~bad).join(invoice.select("invoice_id"), "invoice_id", "left_anti")
+    return edits.where(bad).unionByName(missing.select(*edits.columns))
+
+
 def posting_batch(store: TableStore, status: str = S.STATUS_INVOICE, parity: bool = False,
-                  log: list[Posting] | None = None) -> Callable[[DataFrame, int], None]:
+                  log: list[Posting] | None = None, rejects: list | None = None) -> Callable[[DataFrame, int], None]:
     def handle(edits: DataFrame, batch_id: int) -> None:
-        edited = apply_status_edits(store.read("invoice"), edits)
-        result = post_invoices(store, status, parity, invoice=edited)
+        invoice = store.read("invoice")
+        if rejects is not None:
+            rejects.extend(rejected_edits(invoice, edits).collect())  # a micro-batch's edits
+        store.replace({"invoice": apply_status_edits(invoice, edits)})
+        result = post_invoices(store, status, parity)
         if log is not None:
             log.append(result)
     return handle
