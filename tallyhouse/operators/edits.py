@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .keys import split_duplicates
+from ..session import work_dir
+from .keys import with_key_check
 
 
 def apply_edits(base: DataFrame, edits: DataFrame, keys: list[str],
@@ -19,7 +20,9 @@ def apply_edits(base: DataFrame, edits: DataFrame, keys: list[str],
     Base rows without an edit (anti join on the key) plus the kept edits: no
     full outer join, so a hot base key is split by AQE like any left-side
     join skew."""
-    good, rejects = split_duplicates(edits, keys)
+    work_dir(edits.sparkSession)
+    checked = with_key_check(edits, keys).checkpoint()   # the edit set is computed once for all that follows
+    good, rejects = checked.where("_unique").drop("_unique"), checked.where("NOT _unique").drop("_unique")
     untouched = base.join(good.select(*keys), keys, "left_anti")
     kept = good.where(~F.coalesce(F.col(delete_col), F.lit(False))).select(*base.columns)
     return untouched.select(*base.columns).unionByName(kept), rejects
