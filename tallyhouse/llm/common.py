@@ -3,6 +3,8 @@ work folder, the labelled split and per-document word statistics."""
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -61,6 +63,16 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema) ->
     return map_stream(df, run, schema)
 
 
+def worker_kept(kind: str, key, make: Callable):
+    """``make()`` once for a ``key`` in each Python worker process: what it
+    returns serves the worker's later tasks too, until another key of the same
+    ``kind`` comes. For caches that depend on the key alone."""
+    kept = sys.modules.setdefault("_tallyhouse_kept", types.ModuleType("_tallyhouse_kept")).__dict__
+    if kind not in kept or kept[kind][0] != key:
+        kept[kind] = (key, make())
+    return kept[kind][1]
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     col = batch.column(batch.schema.get_field_index(column))

@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, map_stream, stored, texts
+from .common import map_batches, map_stream, stored, texts, worker_kept
 from .tokens import WordIds, vocabulary
 
 SEQUENCE = 4096
 GRID = 8            # tokens of a length class
 END_ID = 2
 GAP = 1e-4          # the program stops this close to its bound
-RANK_ROWS = 100_000  # rows that are ranked together, about
+RANK_ROWS = 4_000   # rows of a class that are ranked together, about
 
 
 # ---- the plan: patterns over the histogram
@@ -141,7 +141,7 @@ def pieces_of(docs: DataFrame, tokenizer: str) -> DataFrame:
     kind = dict(docs.select("doc_id").dtypes)["doc_id"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(definition.value)
+        ids_of = worker_kept("word ids", definition.value, lambda: WordIds(definition.value))
         for batch in batches:
             rows, at = [], []
             for i, t in enumerate(texts(batch)):
@@ -157,11 +157,12 @@ def pieces_of(docs: DataFrame, tokenizer: str) -> DataFrame:
     return map_stream(docs.select("doc_id", "text"), cut, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
-def ranked(pieces: DataFrame, total: int) -> DataFrame:
+def ranked(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
     """``pieces`` with ``rank``, from 0 without gaps in each ``class``. A class
     is ranked in hashed parts, whose counts give each part its first rank."""
-    parts = max(1, math.ceil(total / RANK_ROWS))
-    rows = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)))
+    parts = [F.lit(x) for c, n in histogram.items() if n > RANK_ROWS for x in (c, math.ceil(n / RANK_ROWS))]
+    many = F.coalesce(F.create_map(*parts)[F.col("class")], F.lit(1)) if parts else F.lit(1)
+    rows = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), many))
     counts = rows.groupBy("class", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("class", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -188,7 +189,7 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
             seq[rows], slot[rows] = sequence + (rank[rows] - first) // per, (rank[rows] - first) % per
         return columns | {"sequence_id": seq, "slot": slot}
 
-    rows = ranked(pieces, sum(histogram.values()))
+    rows = ranked(pieces, histogram)
     placed = map_batches(rows, place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", sequence_id bigint, slot bigint")
     before = Window.partitionBy("sequence_id").orderBy(F.desc("class"), "slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
