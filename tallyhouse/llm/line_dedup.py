@@ -253,9 +253,10 @@ def deduplicated(docs: DataFrame, state: LineState) -> DataFrame:
     Null and empty texts are one empty line. Rows with a null doc_id are not
     documents of the state and stay whole; rows that repeat a doc_id are one
     document and each loses the same keys. All rows and columns stay."""
-    docs = docs.drop("_lines", "_dropped")
-    drops = dropped_keys(state).select(F.col("doc_id").alias("_id"), F.col("dropped").alias("_dropped"))
-    joined = docs.join(drops, F.col("doc_id").cast("long") == F.col("_id"), "left").drop("_id")
+    docs = docs.drop("_lines")
+    drops = dropped_keys(state)
+    joined = docs.join(drops, docs["doc_id"].cast("long") == drops["doc_id"], "left").select(*[docs[c] for c in docs.columns], drops["dropped"].alias("_llm_dropped"))
+    docs_columns = docs.columns
     lines = StructType([StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept_sha256", StringType())])
 
     def cut(batch: pa.RecordBatch) -> dict:
@@ -267,7 +268,7 @@ def deduplicated(docs: DataFrame, state: LineState) -> DataFrame:
             text = b"\n".join(kept) if gone else t
             out.append((text, len(rows), len(rows) - len(kept), hashlib.sha256(text).hexdigest()))
         text, n, less, sha = zip(*out, strict=True)
-        columns = dict(zip(batch.schema.names[:-1], batch.columns[:-1], strict=True))
+        columns = dict(zip(docs_columns, batch.columns[:-1], strict=True))
         columns["text"] = pa.array(text, pa.binary()).cast(pa.string())
         return columns | {"_lines": pa.StructArray.from_arrays([pa.array(n), pa.array(less), pa.array(sha)], lines.names)}
 

@@ -222,6 +222,6 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def first_of_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stand first in their class, with their own
     columns; rows with a null doc_id stay."""
-    keep = join(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("_keep"), "left_semi")
+    keep = join(docs, threshold).where("doc_id = class_id").select("doc_id")
+    kept = docs.join(keep, docs["doc_id"].cast("long") == keep["doc_id"], "left_semi")
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
