@@ -21,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_stream, texts
+from .common import map_stream, texts, worker_kept
 
 SPACE_MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # below the lowest piece
-CACHE_PARTS = 400_000   # then the cache starts anew
+CACHE_PARTS = 900_000   # then the cache starts anew
 RUN_CLASSES = 6         # largest sets of joined characters that get runs of their own
 
 
@@ -147,7 +147,7 @@ def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # as large as the model, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = worker_kept("pieces", shared.value, lambda: Encoder(shared.value))
         for batch in batches:
             ids = [encoder.encode(t.decode()) for t in texts(batch)]
             ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
