@@ -9,13 +9,16 @@ asks for ceil(t |T|) distinct tokens in the block, and the positional filter
 drops a block once the template tokens after the matched one cannot make up
 the threshold. What passes is verified by the exact overlap.
 
-Blocks of a template with m words are the windows of 2m words that start at
-every multiple of m: any m consecutive words lie whole in one of them.
+Blocks of a template with m words are its windows of 2m words at every start
+(``every_block``); running counts over the places of the template's tokens
+change only where one enters or leaves a window. ``best_blocks`` looks at the
+windows that start at multiples of m only, as the registered SQL does.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -111,6 +114,38 @@ def best_blocks(words: list[bytes], templates: list[Template]) -> list[tuple[str
     return found
 
 
+def every_block(words: list[bytes], templates: list[Template]) -> list[tuple[str, float, int]]:
+    """(label, containment, first word of the block) of the best window of each
+    run of neighbouring starts whose windows meet the template's threshold."""
+    found, places, present = [], defaultdict(list), set(words)
+    wanted = [t for t in templates if any(w in present for w in t.tokens[: len(t.tokens) - t.need + 1]) and sum(w in present for w in t.tokens) >= t.need]
+    tokens = frozenset().union(*(t.tokens for t in wanted))
+    for i, w in enumerate(words if wanted else ()):
+        if w in tokens:
+            places[w].append(i)
+    for t in wanted:
+        size = 2 * t.words
+        last = max(0, len(words) - size)  # later windows are parts of that one
+        change: dict[int, int] = defaultdict(int)  # start -> tokens that enter less those that leave
+        for w in t.tokens:
+            free = 0  # first start whose window does not hold the token yet
+            for at in places.get(w, ()):
+                a, b = max(free, at - size + 1), min(at, last)
+                if a <= b:
+                    change[a] += 1
+                    change[b + 1] -= 1
+                    free = b + 1
+        n = best = first = 0
+        for start in sorted(change):
+            n += change[start]
+            if n > best and n >= t.need:
+                best, first = n, start
+            elif n < t.need and best:
+                found.append((t.label, best / len(t.tokens), first))
+                best = 0
+    return found
+
+
 def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
     """(first word, label) of every place of a base phrase."""
     line = b" " + b" ".join(words) + b" "
@@ -138,7 +173,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) ->
         rows = []
         for t in texts(batch):
             words = words_of(t)
-            places, blocks = phrase_places(words), best_blocks(words, ready)
+            places, blocks = phrase_places(words), every_block(words, ready)
             base = {label for _, label in places}
             rows.append((len(words), len(places), min(places)[0] if places else None, max(places)[0] if places else None, ",".join(sorted(base)),
                          ",".join(sorted(base | {x[0] for x in blocks})), 1.0 if places else max((x[1] for x in blocks), default=0.0),
