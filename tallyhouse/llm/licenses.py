@@ -44,6 +44,16 @@ TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
+# fixed values: what tells a template's license from its neighbours. A template that holds the words needs one of the
+# spellings in the block, besides the threshold's share of its tokens
+MARKS = (
+    ("apache", ("apache",)), ("mit", ("mit",)), ("mozilla", ("mozilla",)), ("associated documentation", ("associated documentation",)),
+    ("without fee", ("or without fee", "with or without")), ("general public", ("general",)),
+    ("nc", ("nc", "noncommercial", "non commercial")), ("noncommercial", ("nc", "noncommercial", "non commercial")),
+    ("sharealike", ("sa", "sharealike", "share alike")),
+)
+# a mark's word does not count where one of these stands among the three words before it: GNU Lesser General Public License
+NOT_AFTER = {b"general": frozenset((b"lesser", b"library", b"affero"))}
 # bytes that are not of [^\x00-\x2F\x3A-\x60\x7B-\x7F] once A-Z are lowered become spaces
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -58,6 +68,7 @@ class Template:
     words: int                 # m: blocks have 2m words
     tokens: tuple[bytes, ...]  # distinct, rarest first
     need: int                  # tokens that a block must contain
+    marks: tuple[tuple[tuple[bytes, ...], ...], ...] = ()  # of each, one spelling must stand in a block
 
 
 def token_counts(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, int]:
@@ -82,10 +93,23 @@ def prepared(counts: dict[bytes, int], threshold: float = THRESHOLD, templates=T
     for label, text in templates:
         words = text.encode().split()
         tokens = tuple(sorted(set(words), key=lambda w: (counts.get(w, 0), w)))
-        out.append(Template(label, len(words), tokens, math.ceil(threshold * len(tokens) - 1e-9)))
+        marks = tuple(tuple(tuple(x.encode().split()) for x in spellings) for mark, spellings in MARKS if f" {mark} " in f" {text} ")
+        out.append(Template(label, len(words), tokens, math.ceil(threshold * len(tokens) - 1e-9), marks))
     return out
 
 
+def mark_places(words: list[bytes], spellings: tuple[tuple[bytes, ...], ...]) -> list[tuple[int, int]]:
+    """(first word, last word) of every place of a mark, in order."""
+    out = []
+    for spelling in spellings:
+        at, k, barred = -1, len(spelling), NOT_AFTER.get(spelling[0], frozenset())
+        for _ in range(words.count(spelling[0])):
+            at = words.index(spelling[0], at + 1)
+            if tuple(words[at : at + k]) == spelling and not barred.intersection(words[max(0, at - 3) : at]):
+                out.append((at, at + k - 1))
+    return sorted(out)
+
+
 def best_blocks(words: list[bytes], templates: list[Template]) -> list[tuple[str, float, int]]:
     """(label, containment, first word of the block) of every block that meets
     its template's threshold."""
@@ -116,33 +140,40 @@ def best_blocks(words: list[bytes], templates: list[Template]) -> list[tuple[str
 
 def every_block(words: list[bytes], templates: list[Template]) -> list[tuple[str, float, int]]:
     """(label, containment, first word of the block) of the best window of each
-    run of neighbouring starts whose windows meet the template's threshold."""
+    run of neighbouring starts whose windows meet the template's threshold and
+    hold its marks."""
     found, places, present = [], defaultdict(list), set(words)
-    wanted = [t for t in templates if any(w in present for w in t.tokens[: len(t.tokens) - t.need + 1]) and sum(w in present for w in t.tokens) >= t.need]
-    tokens = frozenset().union(*(t.tokens for t in wanted))
+    wanted = []
+    for t in templates:
+        if any(w in present for w in t.tokens[: len(t.tokens) - t.need + 1]) and sum(w in present for w in t.tokens) >= t.need:
+            marks = [mark_places(words, m) for m in t.marks]
+            if all(marks):
+                wanted.append((t, marks))
+    tokens = frozenset().union(*(t.tokens for t, _ in wanted))
     for i, w in enumerate(words if wanted else ()):
         if w in tokens:
-            places[w].append(i)
-    for t in wanted:
+            places[w].append((i, i))
+    for t, marks in wanted:
         size = 2 * t.words
         last = max(0, len(words) - size)  # later windows are parts of that one
-        change: dict[int, int] = defaultdict(int)  # start -> tokens that enter less those that leave
-        for w in t.tokens:
+        change: dict[int, list[int]] = defaultdict(lambda: [0, 0])  # start -> tokens, marks that enter less those that leave
+        for kind, spots in [*((0, places.get(w, ())) for w in t.tokens), *((1, m) for m in marks)]:
             free = 0  # first start whose window does not hold the token yet
-            for at in places.get(w, ()):
-                a, b = max(free, at - size + 1), min(at, last)
+            for first, end in spots:
+                a, b = max(free, end - size + 1), min(first, last)
                 if a <= b:
-                    change[a] += 1
-                    change[b + 1] -= 1
+                    change[a][kind] += 1
+                    change[b + 1][kind] -= 1
                     free = b + 1
-        n = best = first = 0
+        n = held = best = at = 0
         for start in sorted(change):
-            n += change[start]
-            if n > best and n >= t.need:
-                best, first = n, start
-            elif n < t.need and best:
-                found.append((t.label, best / len(t.tokens), first))
+            n, held = n + change[start][0], held + change[start][1]
+            if n < t.need or held < len(marks):
+                if best:
+                    found.append((t.label, best / len(t.tokens), at))
                 best = 0
+            elif n > best:
+                best, at = n, start
     return found
 
 
@@ -164,7 +195,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) ->
     score, blocks): one row for each row of ``docs``.
 
     ``labels`` are the base labels and those of templates contained in a block
-    at the threshold or above; ``score`` is 1 where a base phrase stands, else
+    at the threshold or above, together with their marks; ``score`` is 1 where a base phrase stands, else
     the best containment, else 0; ``blocks`` lists the matching blocks as
     (label, containment, first word). Null and empty texts have no word."""
     ready = prepared(token_counts(docs, templates), threshold, templates)
