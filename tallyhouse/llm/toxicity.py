@@ -3,8 +3,9 @@ over word and character inputs, trained in numpy.
 
 A word's input joins word features (its class log odds and a trained
 embedding) and character features (the log odds of its first 3, 4 and 5
-characters and the mean of trained embeddings of its character trigrams). A
-text is read as overlapping windows of WINDOW words every STRIDE words, the
+characters and the mean of trained embeddings of all its character trigrams).
+Scripts without spaces are read as overlapping runs of characters, and long
+words as overlapping pieces, which are words of their own. A text is read as overlapping windows of WINDOW words every STRIDE words, the
 last one flush with its end; its score is that of its highest window.
 
 Labels are of documents, so training is multiple-instance: it picks the
@@ -17,10 +18,13 @@ order of a hash of the id.
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,8 @@ SAMPLE_WORDS = 2000        # words of a sampled document, from a hashed place of
 HIDDEN, ATTENTION = 8, 8
 WORD_DIM, GRAM_DIM, GRAM_ROWS = 3, 4, 4096
 PREFIXES = (3, 4, 5)
+LONG = 16                  # a longer word is read as pieces of PIECE characters, one every STEP
+PIECE, STEP = 12, 4
 MIN_DOCS = 4               # a word or prefix in fewer training documents has no log odds
 ROUNDS, EPOCHS, BATCH, RATE, DECAY = 3, 4, 128, 0.01, 1e-3
 STEPS = 150                # updates of a round at least, in as many more epochs
@@ -45,8 +51,61 @@ THRESHOLD = 0.5
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+# scripts written without spaces, and how many characters of them make a word, from every character on
+_UNSPACED = (
+    (2, re.compile("[\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]+")),
+    (4, re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\ua9e0-\ua9ff\uaa60-\uaa7f]+")),  # Thai, Lao, Tibetan, Burmese, Khmer, Tai
+)
+
+
+def _runs(text: str) -> Iterator[tuple[str, int]]:
+    """(characters of one kind, characters that make a word of them or 0)."""
+    at = 0
+    while at < len(text):
+        found = [(m.start(), m.end(), n) for n, kind in _UNSPACED if (m := kind.search(text, at))]
+        first, end, n = min(found, default=(len(text), len(text), 0))
+        if first > at:
+            yield text[at:first], 0
+        if end > first:
+            yield text[first:end], n
+        at = end
+
+
+def _cut(run: str, size: int, step: int) -> list[str]:
+    """Overlapping pieces that cover a run, the last one flush with its end."""
+    return [run[i : i + size] for i in [*range(0, len(run) - size, step), max(0, len(run) - size)]]
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """The words that a stretch of bytes without ASCII space or punctuation is
+    read as: other punctuation and spaces part it, unspaced scripts and words
+    over LONG characters are cut into overlapping pieces. No other character
+    is left out."""
+    text = word.decode("utf-8", "replace")
+    spaced = "".join(" " if c == "\u200b" or c >= "\x80" and unicodedata.category(c)[0] in "PZ" else c for c in text)
+    out = []
+    for part in spaced.split():
+        for run, n in _runs(part):
+            out += _cut(run, n, 1) if n else _cut(run, PIECE, STEP) if len(run) > LONG else [run]
+    return [x.encode() for x in out]
+
+
+@lru_cache(100_000)
+def _pieces_kept(word: bytes) -> tuple[bytes, ...]:
+    return tuple(pieces(word))
+
+
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_TO_WORDS).split()
+    words = text.translate(_TO_WORDS).split()
+    if text.isascii() and len(max(words, key=len, default=b"")) <= LONG:
+        return words
+    out: list[bytes] = []
+    for w in words:
+        if len(w) <= LONG and w.isascii():
+            out.append(w)
+        else:
+            out += _pieces_kept(w) if len(w) <= 64 else pieces(w)
+    return out
 
 
 def prefixes(word: bytes) -> list[str]:
@@ -56,7 +115,7 @@ def prefixes(word: bytes) -> list[str]:
 
 
 def trigrams(word: bytes) -> list[int]:
-    w = b"^" + word[:24] + b"$"
+    w = b"^" + word + b"$"
     return [zlib.crc32(w[i : i + 3]) % GRAM_ROWS for i in range(len(w) - 2)]
 
 
