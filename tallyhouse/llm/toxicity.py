@@ -11,8 +11,9 @@ last one flush with its end; its score is that of its highest window.
 Labels are of documents, so training is multiple-instance: it picks the
 windows that score highest now, fits the network to them, and picks again.
 The log odds that a training document sees come from the other half of the
-sample. The sample is bounded: at most SAMPLE documents of each label, in the
-order of a hash of the id.
+sample. The sample is bounded in rows: at most SAMPLE documents of each label,
+in the order of a hash of the id. Their whole texts are read, in tasks that
+count the terms and pick the windows; only those reach the driver.
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_stream, texts, training_labels
+from .common import held_out, map_batches, map_stream, stored, texts, training_labels
 
 WINDOW, STRIDE = 32, 24
 SAMPLE = 1500              # documents of each label that training reads at most
-SAMPLE_WORDS = 2000        # words of a sampled document, from a hashed place of it
+SAMPLE_TASKS = 16          # tasks that read the sample
 HIDDEN, ATTENTION = 8, 8
 WORD_DIM, GRAM_DIM, GRAM_ROWS = 3, 4, 4096
 PREFIXES = (3, 4, 5)
@@ -280,58 +281,121 @@ class Network:
 # ---- training
 
 
+def half_of(doc_id) -> int:
+    return zlib.crc32(str(doc_id).encode()) // 7 % 2
+
+
+@dataclass
+class Pick:
+    """The windows of a document that a round learns from."""
+
+    doc_id: object
+    label: int
+    best: list[bytes]
+    other: list[bytes]  # a random one
+
+
+def picked(doc_id, words: list[bytes], label: int, halves: list[dict], net: Network | None, turn: int) -> Pick:
+    """Of all windows of a text the one that scores highest, by the log odds
+    alone where there is no network yet, and a random one."""
+    rows: dict[bytes, int] = {}
+    ids = np.array([rows.setdefault(w, len(rows)) for w in words])
+    table = np.array([odds_row(w, halves[half_of(doc_id)]) for w in rows], np.float32)
+    starts = np.array(window_starts(len(ids)))
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(ids, (0, max(0, WINDOW - len(ids))), constant_values=-1), WINDOW)
+    if net is None:
+        score = np.append(table.max(1) + 0.2 * table.sum(1), 0)[windows[starts]].sum(1)
+    else:
+        x = net.inputs(table, np.array([net.vocabulary.get(w, 0) for w in rows]), [np.array(trigrams(w)) for w in rows])
+        score = net.logits(net.project(x, "f"), net.project(x, "b"), windows[starts])
+    best, other = starts[int(score.argmax())], starts[zlib.crc32(f"{doc_id} {turn}".encode()) % len(starts)]
+    return Pick(doc_id, label, words[best : best + WINDOW], words[other : other + WINDOW])
+
+
 def train(sample: list[tuple[int, bytes, int]], share: float | None = None, seed: int = 1) -> Network:
     """From (id, text, label) rows; ``share`` is the share of label 1 among all
     labels. Without both labels the network answers that share for all texts."""
+    docs = [(i, words, y) for i, text, y in sorted(sample) if (words := words_of(text))]
+    seen = {(half, y): Counter() for half in (0, 1) for y in (0, 1)}
+    for i, words, y in docs:
+        seen[half_of(i), y].update({k for w in set(words) for k in keys_of(w)})
+    n = Counter((half_of(i), y) for i, _, y in docs)
+    return fitted(seen, n, lambda halves, net, turn: [picked(i, words, y, halves, net, turn) for i, words, y in docs], share, seed)
+
+
+def train_in_tasks(sample: DataFrame, share: float | None = None, seed: int = 1) -> Network:
+    """``train`` on a table (doc_id, text, label). The driver receives the keys
+    that MIN_DOCS documents hold, and two windows of a document each round."""
+    spark = sample.sparkSession
+
+    def count(batch: pa.RecordBatch) -> dict:
+        n: Counter = Counter()
+        for i, text, y in zip(batch.column(0).to_pylist(), texts(batch), batch.column(2).to_pylist(), strict=True):
+            words = set(words_of(text))
+            if words:
+                cell = 2 * half_of(i) + y
+                n.update((cell, k) for k in {b"", *(b"w" + k if isinstance(k, bytes) else b"p" + k.encode() for w in words for k in keys_of(w))})
+        return {"cell": pa.array([c for c, _ in n], pa.int32()), "key": pa.array([k for _, k in n], pa.binary()), "n": pa.array(list(n.values()), pa.int64())}
+
+    cells = [F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(4)]
+    counts = map_batches(sample, count, "cell int, key binary, n bigint").groupBy("key").agg(*cells).where((F.col("c0") + F.col("c1") + F.col("c2") + F.col("c3") >= MIN_DOCS) | (F.length("key") == 0))
+    seen, n = {(half, y): Counter() for half in (0, 1) for y in (0, 1)}, Counter()
+    for row in counts.toLocalIterator():
+        key = bytes(row["key"])
+        k = key[1:] if key[:1] == b"w" else key[1:].decode()
+        for half, y in seen:
+            v = row[f"c{2 * half + y}"]
+            if not key:
+                n[half, y] = v
+            elif v:
+                seen[half, y][k] = v
+
+    kind = dict(sample.dtypes)["doc_id"]
+
+    def pick(halves: list[dict], net: Network | None, turn: int) -> list[Pick]:
+        shared = spark.sparkContext.broadcast((halves, net))  # as large as the bounded sample allows
+
+        def run(batch: pa.RecordBatch) -> dict:
+            rows = [picked(i, words, y, *shared.value, turn) for i, text, y in zip(batch.column(0).to_pylist(), texts(batch), batch.column(2).to_pylist(), strict=True)
+                    if (words := words_of(text))]
+            return {"doc_id": pa.array([r.doc_id for r in rows], batch.schema.field(0).type), "label": pa.array([r.label for r in rows], pa.int32()),
+                    "best": pa.array([r.best for r in rows], pa.list_(pa.binary())), "other": pa.array([r.other for r in rows], pa.list_(pa.binary()))}
+
+        rows = map_batches(sample, run, f"doc_id {kind}, label int, best array<binary>, other array<binary>").collect()  # bounded: the sample's rows
+        shared.unpersist()
+        return sorted((Pick(r["doc_id"], r["label"], list(map(bytes, r["best"])), list(map(bytes, r["other"]))) for r in rows), key=lambda r: r.doc_id)
+
+    return fitted(seen, n, pick, share, seed)
+
+
+def fitted(seen: dict, n: dict, pick, share: float | None, seed: int) -> Network:
+    """From the counts of keys ``seen`` and documents ``n`` by (half, label);
+    ``pick(halves, net, turn)`` gives the windows of a round."""
     rng = np.random.default_rng(seed)
-    docs = []
-    for i, text, y in sorted(sample):
-        words, at = words_of(text), zlib.crc32(str(i).encode())
-        first = at % max(1, len(words) - SAMPLE_WORDS + 1)
-        docs.append((words[first : first + SAMPLE_WORDS], y, at // 7 % 2))
-    docs = [x for x in docs if x[0]]
-    labels = np.array([y for _, y, _ in docs], np.float32)
-    if not len(labels) or labels.min() == labels.max():
+    docs = {y: n[0, y] + n[1, y] for y in (0, 1)}
+    if not docs[0] or not docs[1]:
         net = Network.fresh({}, {})
         net.p = {k: np.zeros_like(v) for k, v in net.p.items()}
-        rate = share if share is not None else float(labels.mean()) if len(labels) else 0.5
+        rate = share if share is not None else docs[1] / sum(docs.values()) if sum(docs.values()) else 0.5
         net.shift = math.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
         return net
-    seen = {(half, y): Counter() for half in (0, 1) for y in (0, 1)}
-    n = Counter((half, y) for _, y, half in docs)
-    for words, y, half in docs:
-        seen[half, y].update({k for w in set(words) for k in keys_of(w)})
     halves = [log_odds({y: seen[1 - half, y] for y in (0, 1)}, {y: n[1 - half, y] for y in (0, 1)}) for half in (0, 1)]
-    odds = log_odds({y: seen[0, y] + seen[1, y] for y in (0, 1)}, {y: n[0, y] + n[1, y] for y in (0, 1)})
-    del seen
+    odds = log_odds({y: seen[0, y] + seen[1, y] for y in (0, 1)}, docs)
+    seen.clear()
     net = Network.fresh(odds, {w: i + 1 for i, w in enumerate(sorted(k for k in odds if isinstance(k, bytes)))}, seed)
-
-    rows: dict[tuple[bytes, int], int] = {}
-    coded = [np.array([rows.setdefault((w, half), len(rows)) for w in words]) for words, _, half in docs]
-    table = np.empty((len(rows), 1 + len(PREFIXES)), np.float32)
-    for (w, half), i in rows.items():
-        table[i] = odds_row(w, halves[half])
-    word = np.array([net.vocabulary.get(w, 0) for w, _ in rows])
-    grams = [np.array(trigrams(w), np.int16) for w, _ in rows]
-    owner, windows = [], []
-    for i, ids in enumerate(coded):
-        for s in window_starts(len(ids)):
-            owner.append(i)
-            windows.append(np.pad(ids[s : s + WINDOW], (0, max(0, WINDOW - len(ids))), constant_values=-1))
-    owner, windows = np.array(owner), np.stack(windows)
-    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    strength = np.append(table.max(1) + 0.2 * table.sum(1), 0)
-    score = strength[windows].sum(1)
     state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
     for turn in range(ROUNDS):
-        if turn:
-            x = net.inputs(table, word, grams)
-            score = net.logits(net.project(x, "f"), net.project(x, "b"), windows)
-        best = np.lexsort((-score, owner))[first]
-        other = first + rng.integers(0, np.diff(np.append(first, len(owner))))
-        chosen = np.concatenate([best, other[labels == 0]])  # a random window of a toxic text may be clean
-        target = np.concatenate([labels, labels[labels == 0]])
+        picks = pick(halves, net if turn else None, turn)
+        texts_of = [(p.doc_id, p.best, p.label) for p in picks] + [(p.doc_id, p.other, 0) for p in picks if not p.label]  # a random window of a toxic text may be clean
+        rows: dict[tuple[bytes, int], int] = {}
+        windows = np.full((len(texts_of), WINDOW), -1)
+        for i, (doc_id, words, _) in enumerate(texts_of):
+            windows[i, : len(words)] = [rows.setdefault((w, half_of(doc_id)), len(rows)) for w in words]
+        table = np.array([odds_row(w, halves[half]) for w, half in rows], np.float32)
+        word = np.array([net.vocabulary.get(w, 0) for w, _ in rows])
+        grams = [np.array(trigrams(w), np.int16) for w, _ in rows]
+        chosen, target = np.arange(len(windows)), np.array([y for *_, y in texts_of], np.float32)
         for _ in range(max(EPOCHS, math.ceil(STEPS / math.ceil(len(chosen) / BATCH)))):
             order = rng.permutation(len(chosen))
             for s in range(0, len(order), BATCH):
@@ -357,21 +421,27 @@ def train(sample: list[tuple[int, bytes, int]], share: float | None = None, seed
                     q += 0.001 * (d * d - q)
                     v -= (RATE / (1 + turn) * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     if share is not None and 0 < share < 1:
-        mine = float(labels.mean())
+        mine = docs[1] / (docs[0] + docs[1])
         net.shift = math.log(share / (1 - share)) - math.log(mine / (1 - mine))
     return net
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list[tuple[int, bytes, int]], float | None]:
-    """At most ``size`` labelled documents of each label, and the share of
-    label 1 among all labels that may be learnt from."""
+def sample_rows(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[DataFrame, float | None]:
+    """At most ``size`` labelled documents of each label as a table (doc_id,
+    text, label), and the share of label 1 among all labels that may be learnt
+    from."""
     known = training_labels(labels, "toxic").withColumn("label", F.least("label", F.lit(1)))
     n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    rows = []
-    for y in sorted(n):
-        ids = known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)  # bounded: the sample
-        rows += docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).collect()
-    return [(r["doc_id"], (r["text"] or "").encode(), r["label"]) for r in rows], n.get(1, 0) / sum(n.values()) if n else None
+    first = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for y in (0, 1)]  # bounded: the sample
+    ids = F.broadcast(first[0].unionByName(first[1]))
+    rows = docs.select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int"))
+    return rows, n.get(1, 0) / sum(n.values()) if n else None
+
+
+def sample_of(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list[tuple[int, bytes, int]], float | None]:
+    """``sample_rows`` on the driver, for small samples."""
+    rows, share = sample_rows(docs, labels, size)
+    return [(r["doc_id"], r["text"].encode(), r["label"]) for r in rows.collect()], share
 
 
 # ---- scoring
@@ -427,7 +497,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, s
     """(doc_id, held_out, score, predicted): one row for each row of ``docs``.
     All windows of a text count. Null and empty texts are scored as an empty
     window; null ids are not labelled and not held out."""
-    net = train(*sample_of(docs, labels, size))
+    sample, share = sample_rows(docs, labels, size)
+    net = train_in_tasks(stored(sample.repartition(SAMPLE_TASKS)), share)
     shared = docs.sparkSession.sparkContext.broadcast(net)  # as large as the bounded sample allows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
