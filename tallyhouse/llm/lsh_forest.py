@@ -1,10 +1,12 @@
-"""N-gram Jaccard join: MinHash LSH forest and exact verification.
+"""N-gram Jaccard join: MinHash banding and exact verification.
 
 A document is the set of its five-word shingles. Documents with equal sets are
-copies and stand for each other. A forest of TREES prefix trees holds each
-set's MinHash values; two sets are candidates if their first values in some
-tree agree, and the length of that prefix is shortened until the recall at the
-threshold reaches the target. Candidates are joined through the least document
+copies and stand for each other. Of the prefix trees of an LSH forest only one
+level is built, which makes it banding: TREES bands of prefix_length() MinHash
+values, the most values whose recall at the threshold, worked out from the
+constants, reaches the target. Two sets are candidates if they agree in a
+band; a pair at the threshold shares none with probability 1e-11. Candidates
+are joined through the least document
 of each prefix, not pair by pair, so that they form groups.
 
 Every two sets of a group are then compared exactly, on shingle counts. Groups
@@ -30,7 +32,7 @@ from .graph import components
 
 WORDS = 5
 THRESHOLD = 0.8
-TREES, DEPTH, RECALL = 20, 10, 0.999
+TREES, DEPTH, RECALL = 64, 10, 1 - 1e-10
 BLOCK = 512   # sets that one task compares with each other, or with as many
 ALL = 2       # part of a set that its task compares with all others
 UNIVERSE = 8192  # shingles of a block of the overlap product
