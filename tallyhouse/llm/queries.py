@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, line_dedup, lsh_forest, packing, pieces, quality, rules, toxicity, urls
+from . import fim, fingerprints, licenses, line_dedup, lsh_forest, packing, pieces, quality, rules, toxicity, urls
 from .common import table
 
 
@@ -58,4 +58,10 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_fill_in_middle(spark, sf_dir):
+    out = fim.transform(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
 QUERIES = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
