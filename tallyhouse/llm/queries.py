@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fim, fingerprints, licenses, line_dedup, lsh_forest, packing, pieces, quality, rules, toxicity, urls
+from . import fim, fingerprints, licenses, line_dedup, lsh_forest, packing, pieces, quality, rules, toxicity, trie, urls
 from .common import table
 
 
@@ -64,4 +64,8 @@ def op12_fill_in_middle(spark, sf_dir):
                       F.sha2(fim.restored(), 256).alias("restored_sha256"))
 
 
+def op13_conversation_trie(spark, sf_dir):
+    return trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}

@@ -95,5 +95,32 @@ SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(
 FROM p
 """
 
+# CRC-32 of a number's decimal digits, bit by bit
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT)"""
+
+CONVERSATION_TRIE = f"""
+WITH s AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+x AS (SELECT conv_id, turn, sha256(length(role) || ':' || role || text) AS x, length(text) AS chars FROM s),
+t AS (SELECT conv_id, x, chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, x) AS pos FROM x),
+l AS (SELECT conv_id, count(*) AS len FROM t GROUP BY conv_id),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32} % 6 AS h FROM l),
+r AS (SELECT c.conv_id, pos AS depth, x, chars FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+      UNION ALL SELECT c.conv_id, least(c.h, coalesce(b.len, 0)) + t.pos - c.h, x, chars
+      FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h LEFT JOIN l b ON b.conv_id = c.base
+      UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+p AS (SELECT *, sha256(string_agg(x, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM r),
+q AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM p),
+n AS (SELECT node, any_value(parent) AS parent, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(chars) AS chars,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends FROM q GROUP BY node),
+k AS (SELECT parent AS node, count(*) AS kids FROM n WHERE parent IS NOT NULL GROUP BY parent),
+m AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN k USING (node)),
+a AS (SELECT p.node, count(*) FILTER (m.kids = 0) AS leaves, sum((m.n_convs - 1) * m.chars) AS saved
+      FROM m JOIN p ON p.conv_id = m.conv_id AND p.depth <= m.depth GROUP BY p.node)
+SELECT m.conv_id, m.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.kids::BIGINT AS n_children,
+       a.leaves::BIGINT AS n_leaves, a.saved::BIGINT AS saved_tokens, m.ends AS ends_sha256
+FROM m JOIN a USING (node) LEFT JOIN n up ON up.node = m.parent
+"""
+
 ORACLE_SQL = {"op5_line_dedup": LINE_DEDUP, "op7_quality_rules": QUALITY_RULES, "op8_license_scan": LICENSE_SCAN, "op9_url_filter": URL_FILTER,
-              "op12_fill_in_middle": FILL_IN_MIDDLE}
+              "op12_fill_in_middle": FILL_IN_MIDDLE, "op13_conversation_trie": CONVERSATION_TRIE}
