@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fim, fingerprints, licenses, line_dedup, lsh_forest, packing, pieces, quality, rules, toxicity, trie, urls
+from . import fim, fingerprints, licenses, line_dedup, lsh_forest, packing, pieces, pii, quality, rules, toxicity, trie, urls
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_personal_data(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark, sf_dir):
     out = fim.transform(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
