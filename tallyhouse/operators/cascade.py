@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from .keys import split_duplicates
+from .ladders import KEY, ladders, neighbours, split_ladder_rows
 
 _OUT = T.StructType([
     T.StructField("inventory_id", T.LongType()),
@@ -129,3 +130,44 @@ def stock_cascade(inventory: DataFrame, conversion: DataFrame, demand: DataFrame
     if passed is not None:
         out = out.unionByName(passed.select(*out.columns))
     return out
+
+
+# The fold over a product's own ladder: ``coarser`` is the unit next above x in the product's array (NULL for its
+# coarsest, which is never short), ``has_edge`` and ``q`` belong to the edge coarser -> x
+_OWN_ELEMS = """transform(rungs, (x, i) -> named_struct(
+    'unit_id', x.unit_id, 'inventory_id', x.inventory_id, 'product_name', x.product_name,
+    'unit_size', x.unit_size, 'stock', x.stock, 'coarser', get(rungs, i + 1).unit_id,
+    'buy', coalesce(get(filter(dem, d -> d.unit_id = x.unit_id), 0).buy, 0D),
+    'has_edge', exists(edg, e -> e.unit_id = x.unit_id),
+    'q', get(filter(edg, e -> e.unit_id = x.unit_id), 0).q))"""
+_OWN_SHORT = f"(x.coarser IS NOT NULL AND coalesce({_BUY} > x.stock, false))"
+_OWN_FOLD = _FOLD.replace(_SHORT, _OWN_SHORT).replace("x.unit_id - 1", "x.coarser")
+
+
+def cascade_own_ladders(inventory: DataFrame, conversion: DataFrame, demand: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(inventory after the demand, rejects): ``stock_cascade`` where a product's
+    ladder is the list of its own units, of any ids and depth; the next coarser
+    unit is the one before it in the list, not ``unit - 1``. (A product with the
+    units 1 and 3 opens balls into packs here and does not there.)
+
+    Rejects are inventory rows off the ladders (key repeated or incomplete, or
+    more than ``MAX_UNITS`` units); they pass through unchanged. Demand
+    and edges meet the ladder's keys first, so that what is collected for a
+    product is bounded by its ladder, whatever units lines and edges name."""
+    valid, rejects = split_ladder_rows(inventory)
+    rungs = ladders(valid, "inventory_id", "product_name", "unit_size", F.col("stock").cast("double").alias("stock"))
+    need = (demand.where(F.col("product_id").isNotNull()).groupBy(*KEY).agg(F.sum("quantity").cast("double").alias("buy"))
+            .join(valid.select(*KEY), KEY, "left_semi"))
+    steps = ladders(valid).select("product_id", F.explode(neighbours()).alias("e")).select(
+        "product_id", F.col("e.coarse.unit_id").alias("original_unit_id"), F.col("e.fine.unit_id").alias("convert_unit_id"))
+    factors = conversion.groupBy("product_id", "original_unit_id", "convert_unit_id").agg(
+        F.when(F.count(F.lit(1)) == 1, F.min("convert_quantity")).cast("double").alias("q"))
+    edges = factors.join(steps, ["product_id", "original_unit_id", "convert_unit_id"], "left_semi")
+    dem = need.groupBy("product_id").agg(F.collect_list(F.struct("unit_id", "buy")).alias("dem"))
+    edg = edges.groupBy("product_id").agg(F.collect_list(F.struct(F.col("convert_unit_id").alias("unit_id"), "q")).alias("edg"))
+    grouped = (rungs.withColumn("rungs", F.reverse("ladder")).join(dem, "product_id", "left").join(edg, "product_id", "left")
+               .withColumns({"dem": F.coalesce("dem", F.array().cast("array<struct<unit_id:int,buy:double>>")),
+                             "edg": F.coalesce("edg", F.array().cast("array<struct<unit_id:int,q:double>>"))}))
+    folded = grouped.select("product_id", F.expr(_OWN_ELEMS).alias("elems")).select("product_id", F.explode(F.expr(_OWN_FOLD)).alias("r"))
+    out = folded.select("r.inventory_id", "product_id", "r.product_name", "r.unit_id", "r.unit_size", "r.stock")
+    return out.unionByName(rejects.select(*out.columns)), rejects

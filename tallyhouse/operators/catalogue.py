@@ -5,13 +5,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.ids import with_consecutive_ids
 from ..session import work_dir
 from .keys import split_duplicates
+from .ladders import ladders, pairs, split_ladder_rows
 
 
 def _only(df: DataFrame, product_ids) -> DataFrame:
@@ -29,36 +30,34 @@ def size_list(unit_size: DataFrame, product_ids=None) -> DataFrame:
     return _only(unit_size, product_ids).select("product_id", "unit_id", "unit_size")
 
 
-def _ladder_ids() -> Column:
-    return F.array(*[F.lit(u) for u, _ in S.UNIT_LADDER])
-
-
 def conversion_edges(unit_size: DataFrame, product_ids=None, validated: bool = False) -> DataFrame:
     """Every (coarser, finer) unit pair of a product, quantities left blank.
 
-    Instead of a self join on product with ``x.unit < y.unit`` (all pairs of a
-    product), each unit row is expanded to the finer ladder ids (at most two)
-    and joined to the unit table on the full key (product, unit): an equi join
-    whose output is bounded by the ladder. Rows with a duplicate or missing
-    key get no edge (``validated=True`` skips that check for a table known to
-    be valid), so a duplicated key cannot multiply into all its pairs.
+    Instead of a self join on product with ``x.unit < y.unit``, the product's
+    units are put into one sorted array of bounded length (``ladders``), whose
+    pairs are read off by position: one grouping, no join of unit rows. The
+    units may have any ids. Rows that repeat a (product, unit), lack one, or
+    belong to a product with too many units get no edge; they are the
+    ``edge_unit_rejects`` (``validated=True`` skips that check for a table known
+    to be valid).
     """
     us = _only(unit_size, product_ids)
     if not validated:
-        us = split_duplicates(us, ["product_id", "unit_id"])[0]
-    x = us.select(
-        "product_id", "product_name",
-        F.col("unit_id").alias("original_unit_id"), F.col("unit_size").alias("original_unit_size"),
-        F.explode(F.filter(_ladder_ids(), lambda v: v > F.col("unit_id"))).alias("convert_unit_id"))
-    y = us.select("product_id", F.col("unit_id").alias("convert_unit_id"),
-                  F.col("unit_size").alias("convert_unit_size"))
-    return x.join(y, ["product_id", "convert_unit_id"]).select(
-        "product_id", "product_name", "original_unit_id", "original_unit_size",
+        us = split_ladder_rows(us)[0]
+    edges = ladders(us, "unit_size", "product_name").select("product_id", F.explode(pairs()).alias("e"))
+    return edges.select(
+        "product_id", F.col("e.coarse.product_name").alias("product_name"),
+        F.col("e.coarse.unit_id").alias("original_unit_id"), F.col("e.coarse.unit_size").alias("original_unit_size"),
         F.lit(None).cast("double").alias("original_quantity"),
-        "convert_unit_id", "convert_unit_size",
+        F.col("e.fine.unit_id").alias("convert_unit_id"), F.col("e.fine.unit_size").alias("convert_unit_size"),
         F.lit(None).cast("double").alias("convert_quantity"))
 
 
+def edge_unit_rejects(unit_size: DataFrame, product_ids=None) -> DataFrame:
+    """The unit rows that get no conversion edge: see ``conversion_edges``."""
+    return split_ladder_rows(_only(unit_size, product_ids))[1]
+
+
 def next_ids(product: DataFrame, inventory: DataFrame) -> DataFrame:
     """One row: the next free product id and inventory id (max + 1, an empty
     table counts as max 0). One global aggregate over a union of both id

@@ -3,7 +3,9 @@ match attempts against a keyed table."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import work_dir
@@ -28,11 +30,23 @@ def apply_edits(base: DataFrame, edits: DataFrame, keys: list[str],
     return untouched.select(*base.columns).unionByName(kept), rejects
 
 
+def _complete(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+
+def keyless(incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that ``insert_if_absent`` leaves out: a part of the key is NULL."""
+    return incoming.where(~_complete(keys))
+
+
 def insert_if_absent(base: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``incoming`` whose key is not in ``base``, one per key: of a
     batch's rows with one key the smallest (a deterministic choice). One anti
     join against the keys of ``base``; the de-duplication is an
-    aggregate with a partial stage, so a key repeated many times stays cheap."""
+    aggregate with a partial stage, so a key repeated many times stays cheap.
+    Rows with an incomplete key are no row's duplicate and would enter again with
+    every call: they are left out (``keyless``)."""
+    incoming = incoming.where(_complete(keys))
     others = [c for c in incoming.columns if c not in keys]
     batch = incoming
     if others:

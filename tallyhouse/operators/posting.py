@@ -45,16 +45,33 @@ def sufficiency_gate(sufficiency: DataFrame) -> DataFrame:
     return sufficiency.agg(F.coalesce(F.bool_and("truth_value"), F.lit(True)).alias("sufficient"))
 
 
+def usable_rows(inventory: DataFrame) -> DataFrame:
+    """(product_id, unit_id) of the inventory rows that stock can be posted to:
+    the key is complete and held by one row. One grouped count."""
+    return (inventory.where(F.col("product_id").isNotNull() & F.col("unit_id").isNotNull()).groupBy("product_id", "unit_id")
+            .agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 1).select("product_id", "unit_id"))
+
+
 def replenish(inventory: DataFrame, additions: DataFrame) -> DataFrame:
     """Inventory with ``additions`` (product_id, unit_id, quantity) added to the
-    stock of the matching rows; other rows are unchanged."""
+    stock of the matching rows; other rows are unchanged. An addition without
+    one usable row changes nothing: see ``unplaced``."""
     add = additions.groupBy("product_id", "unit_id").agg(F.sum("quantity").alias("_add"))
+    add = add.join(usable_rows(inventory), ["product_id", "unit_id"], "left_semi")
     j = inventory.join(add, ["product_id", "unit_id"], "left")
     return j.select(*[
         (F.when(F.col("_add").isNotNull(), F.col("stock") + F.col("_add")).otherwise(F.col("stock"))
          .alias("stock") if c == "stock" else F.col(c)) for c in inventory.columns])
 
 
+def unplaced(inventory: DataFrame, additions: DataFrame) -> DataFrame:
+    """The additions that no stock can be posted for: (product, unit) stands in
+    no or in several inventory rows, or the quantity is blank."""
+    known = additions.join(usable_rows(inventory), ["product_id", "unit_id"], "left_anti").select(*additions.columns)
+    blank = additions.where(F.col("quantity").isNull()).join(usable_rows(inventory), ["product_id", "unit_id"], "left_semi")
+    return known.unionByName(blank.select(*additions.columns))
+
+
 def replenish_in(inventory: DataFrame, txn: DataFrame, invoice: DataFrame,
                  status: str = S.STATUS_INVOICE) -> DataFrame:
     """Stock plus the IN lines of open invoices."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.columns import per_unit
 from .keys import split_duplicates
+from .ladders import KEY, ladders, split_ladder_rows
 
 
 def unique_edges(conversion: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,22 +60,21 @@ def demand_in_packs(demand: DataFrame, conversion: DataFrame) -> DataFrame:
     return in_unit(demand, conversion, "quantity", "pack_buy")
 
 
-def _ladder_at_or_below(unit: Column) -> Column:
-    return F.filter(F.array(*[F.lit(u) for u, _ in S.UNIT_LADDER]), lambda v: v >= unit)
-
-
 def available_in_unit(inventory: DataFrame, conversion: DataFrame, unit_size: DataFrame) -> DataFrame:
     """(product_id, unit_id, available): for every unit a product offers, its
     stock in that unit plus every coarser unit's stock converted through the
-    direct edge (coarser -> that unit). NULL when no such stock row exists.
+    direct edge (coarser -> that unit). NULL when no such stock row exists, and
+    for the unit rows of ``available_rejects``.
 
-    Each inventory row is expanded to the ladder units at or below it (at most
-    three), so the non-equi condition ``x.unit <= target`` becomes an equi join
-    on (product, target); no pairs of a product are formed.
+    The units a product offers are one array of bounded length (``ladders``),
+    by which each inventory row is spread to the units at or below its own: the
+    non-equi condition ``x.unit <= target`` becomes an equi join on (product,
+    target), whatever the ids are; no pairs of a product are formed.
     """
-    expanded = inventory.select(
-        "product_id", F.col("unit_id").alias("from_unit"), "stock",
-        F.explode(_ladder_at_or_below(F.col("unit_id"))).alias("unit_id"))
+    offered = unit_size.where(F.col("product_id").isNotNull() & F.col("unit_id").isNotNull()).select(*KEY).distinct()
+    targets = ladders(split_ladder_rows(offered)[0])
+    expanded = (inventory.select("product_id", F.col("unit_id").alias("from_unit"), "stock").join(targets, "product_id")
+                .select("product_id", "from_unit", "stock", F.explode(F.filter(F.col("ladder.unit_id"), lambda v: v >= F.col("from_unit"))).alias("unit_id")))
     edges = unique_edges(conversion.withColumnRenamed("original_unit_id", "from_unit")
                          .withColumnRenamed("convert_unit_id", "unit_id"), ["product_id", "from_unit", "unit_id"])
     sums = (expanded.join(edges, ["product_id", "from_unit", "unit_id"], "left")
@@ -82,3 +82,9 @@ def available_in_unit(inventory: DataFrame, conversion: DataFrame, unit_size: Da
             .agg(_known_sum(per_unit(F.col("stock"), F.col("original_quantity"),
                                      F.col("convert_quantity"))).alias("available")))
     return unit_size.select("product_id", "unit_id").join(sums, ["product_id", "unit_id"], "left")
+
+
+def available_rejects(unit_size: DataFrame) -> DataFrame:
+    """Unit rows whose availability is not to be relied on: the key is repeated
+    or incomplete, or the product has too many units (which get NULL)."""
+    return split_ladder_rows(unit_size)[1]

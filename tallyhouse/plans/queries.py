@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..operators import actions, catalogue, edits, invoicing, posting, reports, units
-from ..operators.cascade import stock_cascade
+from ..operators import actions, catalogue, edits, invoicing, merge, posting, reports, units
+from ..operators.cascade import cascade_own_ladders, stock_cascade
 from ..operators.demand import demand
 from ..session import scratch_path
 from ..sources.fixtures import AS_OF, Ledger
+from ..sources.quarantine import Quarantined, read_csv_quarantined
 from ..sources.tables import TableStore, read_csv_table, write_csv_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,6 +297,138 @@ def q_purchase_entry_history(spark, d):
     return money_as_double(_purchased(spark, d).read("purchase"))
 
 
+def doubtful_entries(L: Ledger) -> DataFrame:
+    """Purchase entries, every seventeenth product unknown to the ledger."""
+    p = F.col("product_id")
+    return L.purchase_entries.withColumn("product_id", F.when(p % 17 == 0, p + 1_000_000_000).otherwise(p))
+
+
+def repeated_inventory(L: Ledger) -> DataFrame:
+    """Inventory with a second unit-1 row for every nineteenth product."""
+    again = L.inventory.where((F.col("product_id") % 19 == 0) & (F.col("unit_id") == 1)).withColumn("inventory_id", -F.col("inventory_id"))
+    return L.inventory.unionByName(again)
+
+
+def _doubtful(spark, d):
+    L = Ledger(spark, d)
+    store = TableStore(spark)
+    store.replace({"inventory": repeated_inventory(L)})
+    return store, actions.record_purchases(store, doubtful_entries(L), product=L.product, unit_size=L.unit_size)
+
+
+def q_purchase_entry_rejects(spark, d):
+    """The entries that neither stock nor history takes."""
+    return money_as_double(_doubtful(spark, d)[1].rejects)
+
+
+def q_purchase_doubtful_stock(spark, d):
+    """The stock after the other entries of the same batch."""
+    return _doubtful(spark, d)[0].read("inventory")
+
+
+def q_submit_repeated(spark, d):
+    """The invoices after a draft is submitted, and submitted again with more
+    headers: every fifth order's stands twice, every seventh comes the second
+    time only."""
+    L = Ledger(spark, d)
+    store = TableStore(spark)
+    o = F.col("invoice_id")
+    every = L.draft_headers
+    twice = every.unionByName(every.where(o % 5 == 0))
+    for headers in (twice.where(o % 7 != 0), twice):
+        actions.submit_invoices(store, headers, L.draft_lines, product=L.product, unit_size=L.unit_size)
+    return store.read("invoice")
+
+
+def deep_units(L: Ledger) -> DataFrame:
+    """Unit rows with the ids 1, 4 and 7, every seventh product with a finer
+    unit 10; every eleventh product's unit 1 stands twice."""
+    p = F.col("product_id")
+    rows = L.unit_size.withColumn("unit_id", (F.col("unit_id") * 3 - 2).cast("int"))
+    finest = L.product.where(p % 7 == 0).select(p, "product_name", F.lit(10).alias("unit_id"), F.lit("SINGLE").alias("unit_size"))
+    again = rows.where((p % 11 == 0) & (F.col("unit_id") == 1)).withColumn("unit_size", F.lit("BALL AGAIN"))
+    return rows.unionByName(finest).unionByName(again)
+
+
+def deep_stock(L: Ledger) -> DataFrame:
+    """Inventory over the same units: an id and a stock of its own for each row."""
+    p, u = F.col("product_id"), F.col("unit_id")
+    return deep_units(L).select((p * 100 + u).cast("long").alias("inventory_id"), p, "product_name", u, "unit_size",
+                                F.when(u == 1, 60 + p % 41).otherwise((p + u) % 23).cast("double").alias("stock"))
+
+
+def deep_edges(L: Ledger) -> DataFrame:
+    """Conversions between every two units of a product, blank for every 97th."""
+    p, q = F.col("product_id"), F.col("convert_unit_id") - F.col("original_unit_id")
+    edges = catalogue.conversion_edges(deep_units(L).where(F.col("unit_size") != "BALL AGAIN"))
+    return edges.withColumns({"original_quantity": F.lit(1.0), "convert_quantity": F.when(p % 97 != 0, (q + p % 3).cast("double"))})
+
+
+def deep_demand(L: Ledger) -> DataFrame:
+    return demand(L.txn, L.invoice).withColumn("unit_id", (F.col("unit_id") * 3 - 2).cast("int"))
+
+
+def q_ladder_edges(spark, d):
+    return catalogue.conversion_edges(deep_units(Ledger(spark, d)))
+
+
+def q_ladder_edge_rejects(spark, d):
+    return catalogue.edge_unit_rejects(deep_units(Ledger(spark, d)))
+
+
+def q_ladder_available(spark, d):
+    L = Ledger(spark, d)
+    return units.available_in_unit(deep_stock(L), deep_edges(L), deep_units(L))
+
+
+def q_ladder_cascade(spark, d):
+    L = Ledger(spark, d)
+    return cascade_own_ladders(deep_stock(L), deep_edges(L), deep_demand(L))[0]
+
+
+def dirty_inventory(spark, d) -> Quarantined:
+    """The inventory as a sheet's CSV export with cells that are no numbers,
+    blank ones and blank ids, read back."""
+    i = F.col("inventory_id")
+    cells = Ledger(spark, d).inventory.select(
+        F.when(i % 31 == 0, F.lit("")).otherwise(i.cast("string")).alias("inventory_id"),
+        F.when(i % 29 == 0, F.lit(" ")).otherwise(F.col("product_id").cast("string")).alias("product_id"), "product_name",
+        F.when(i % 19 == 0, F.lit("two")).when(i % 23 == 0, F.lit("2.5")).otherwise(F.col("unit_id").cast("string")).alias("unit_id"), "unit_size",
+        F.when(i % 13 == 0, F.lit("n/a")).when(i % 17 == 0, F.lit("")).otherwise(F.col("stock").cast("string")).alias("stock"))
+    path = scratch_path(spark, "dirty-csv")
+    write_csv_table(cells, path)
+    return read_csv_quarantined(spark, path, S.INVENTORY)
+
+
+def q_csv_good_rows(spark, d):
+    return dirty_inventory(spark, d).good
+
+
+def q_csv_rejects(spark, d):
+    rejects = dirty_inventory(spark, d).rejects
+    return rejects.select(F.get_json_object("record", "$.product_name").alias("product_name"), "column", "raw")
+
+
+def _merged(spark, d) -> merge.Merge:
+    """Two users edit the inventory: one adds 5 to every third product's stock
+    and deletes every tenth's (remainder 7), the other adds 5 to every sixth's,
+    doubles every fifth's, deletes every eleventh's and adds a unit 9 to every
+    fourth's balls."""
+    inv, p, stock = Ledger(spark, d).inventory, F.col("product_id"), F.col("stock")
+    theirs = inv.where(p % 10 != 7).withColumn("stock", F.when(p % 3 == 0, stock + 5).otherwise(stock))
+    mine = inv.where(p % 11 != 0).withColumn("stock", F.when(p % 6 == 0, stock + 5).when(p % 5 == 0, stock * 2).otherwise(stock))
+    new = inv.where((p % 4 == 0) & (F.col("unit_id") == 1)).withColumns({"inventory_id": -F.col("inventory_id"), "unit_id": F.lit(9), "stock": F.lit(0.0)})
+    return merge.merge_edits(inv, theirs, mine.unionByName(new), ["product_id", "unit_id"])
+
+
+def q_merge_edits(spark, d):
+    return _merged(spark, d).result
+
+
+def q_merge_conflicts(spark, d):
+    return _merged(spark, d).conflicts.select("product_id", "unit_id", *[F.col(f"{s}.stock").alias(f"{s}_stock") for s in ("base", "theirs", "mine")])
+
+
 def _onboarded(spark, d):
     L = Ledger(spark, d)
     return catalogue.onboard_products(L.new_products, L.product, L.inventory)
