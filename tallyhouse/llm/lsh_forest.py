@@ -1,13 +1,15 @@
-"""N-gram Jaccard join: MinHash banding and exact verification.
+"""N-gram Jaccard join: a MinHash LSH forest and exact verification.
 
 A document is the set of its five-word shingles. Documents with equal sets are
-copies and stand for each other. Of the prefix trees of an LSH forest only one
-level is built, which makes it banding: TREES bands of prefix_length() MinHash
-values, the most values whose recall at the threshold, worked out from the
-constants, reaches the target. Two sets are candidates if they agree in a
-band; a pair at the threshold shares none with probability 1e-11. Candidates
-are joined through the least document
-of each prefix, not pair by pair, so that they form groups.
+copies and stand for each other. A set has a label of DEPTH MinHash values in
+each of TREES trees. The trees are sorted tries: all labels of a tree in order,
+so that the sets below any prefix stand side by side, and the prefix that two
+neighbours share says at which levels of the trie they meet. The join starts at
+the full depth and shortens the prefix, level by level, until the recall reaches
+the target: that of the links measured on a sample, and for pairs at the
+threshold the one that follows from the number of trees (``chosen_level``).
+Neighbours that share the prefix are linked, not every two sets below it, so
+that candidates form groups.
 
 Every two sets of a group are then compared exactly, on shingle counts. Groups
 are verified where they lie together; one with more than BLOCK sets is dealt
@@ -19,20 +21,25 @@ of links, never the pairs.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored, texts
+from .common import map_batches, map_stream, stored, texts
 from .graph import components
 
 WORDS = 5
 THRESHOLD = 0.8
-TREES, DEPTH, RECALL = 64, 10, 1 - 1e-10
+TREES, DEPTH, RECALL = 64, 8, 1 - 1e-10
+VALUE = 2              # bytes of a MinHash value in a label
+LABEL = 1 + DEPTH * VALUE  # bytes of a tree's number and label
+SAMPLE = 128           # documents whose links are looked for exactly, to measure the recall of each level
+SAMPLE_CHARS = 200_000  # a longer text is not drawn for the sample
 BLOCK = 512   # sets that one task compares with each other, or with as many
 ALL = 2       # part of a set that its task compares with all others
 UNIVERSE = 8192  # shingles of a block of the overlap product
@@ -42,13 +49,9 @@ _PLACE = _rng.integers(1, 1 << 62, WORDS, dtype=np.uint64) * np.uint64(2) + np.u
 _HASH = _rng.integers(1, 1 << 62, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix whose recall at the threshold reaches the target:
-    from the full depth it is shortened until 1 - (1 - t^k)^trees does."""
-    k = depth
-    while k > 1 and 1 - (1 - threshold**k) ** trees < recall:
-        k -= 1
-    return k
+def recall_at(level: int, threshold: float = THRESHOLD) -> float:
+    """The share of pairs at the threshold that meet at a level in some tree."""
+    return 1 - (1 - threshold**level) ** TREES
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -69,31 +72,133 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(x)
 
 
-def prefix_keys(s: np.ndarray, k: int) -> np.ndarray:
-    """One 64-bit key per tree of the first k MinHash values of a set."""
-    use = _HASH.reshape(TREES, DEPTH)[:, :k].ravel()
-    values = np.concatenate([(s[None, :] * use[i : i + 16, None]).min(1) for i in range(0, len(use), 16)]).reshape(TREES, k)
-    key = np.arange(TREES, dtype=np.uint64)
-    for i in range(k):
-        key = (key ^ values[:, i]) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
-
-
-def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, digest, n, keys) of every row with an id: digest of the shingle
-    set, its size and its prefix keys (null without words)."""
+def label_matrix(s: np.ndarray) -> np.ndarray:
+    """TREES rows of LABEL bytes: the tree's number and its MinHash values."""
+    least = np.concatenate([(s[None, :] * _HASH[i : i + 16, None]).min(1) for i in range(0, len(_HASH), 16)])
+    least ^= least >> np.uint64(31)
+    least *= np.uint64(0x9E3779B97F4A7C15)
+    values = (least >> np.uint64(64 - 8 * VALUE)).astype(f">u{VALUE}").reshape(TREES, DEPTH)
+    return np.concatenate([np.arange(TREES, dtype=np.uint8)[:, None], values.view(np.uint8).reshape(TREES, DEPTH * VALUE)], axis=1)
+
+
+def shared_levels(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values each two rows of label matrices share from the start."""
+    same = (a == b)[:, 1:].reshape(len(a), DEPTH, VALUE).all(2)
+    return np.where((a[:, 0] == b[:, 0]), np.cumprod(same, axis=1).sum(1), 0)
+
+
+class Sample:
+    """Sets whose links are found exactly, and at which level they meet."""
+
+    def __init__(self, sets: list[np.ndarray], threshold: float):
+        self.sets = [s for s in sets if len(s)]
+        self.threshold = threshold
+        self.labels = [label_matrix(s) for s in self.sets]
+        flat = np.concatenate([np.zeros(0, np.uint64), *self.sets])
+        owner = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets]).astype(np.int64)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner, self.sizes = flat[order], owner[order], np.array([len(s) for s in self.sets], np.int64)
+
+    def levels(self, s: np.ndarray, labels: np.ndarray) -> list[int]:
+        """The deepest level at which the set meets each sampled one that it is
+        linked to, and is not equal to."""
+        lo, hi = np.searchsorted(self.flat, s, "left"), np.searchsorted(self.flat, s, "right")
+        hit = np.flatnonzero(hi > lo)
+        if not len(hit):
+            return []
+        owners = np.concatenate([self.owner[lo[i] : hi[i]] for i in hit])
+        both = np.bincount(owners, minlength=len(self.sets))
+        union = self.sizes + len(s) - both
+        linked = np.flatnonzero((both >= self.threshold * union - 1e-9) & (both < union))
+        return [int(shared_levels(labels, self.labels[i]).max()) for i in linked]
+
+
+def draw(docs: DataFrame, threshold: float = THRESHOLD) -> Sample:
+    """SAMPLE documents, those of the least hashes of their id; reaches the
+    driver: SAMPLE texts of SAMPLE_CHARS code points at most."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    drawn = rows.orderBy(F.xxhash64("doc_id", F.lit(7))).limit(SAMPLE)
+    return Sample([shingles(r["text"].encode("utf-8", "surrogatepass")) for r in drawn.collect()], threshold)
+
+
+def signatures(docs: DataFrame, sample: Sample) -> DataFrame:
+    """(doc_id, digest, n, labels, met) of every row with an id: digest of the
+    shingle set, its size, its labels one after another (null without words),
+    and the levels at which it meets the sampled sets it is linked to."""
     def sign(batch: pa.RecordBatch) -> dict:
-        digest, size, keys = [], [], []
+        digest, size, labels, met = [], [], [], []
         for t in texts(batch):
             s = shingles(t)
             size.append(len(s))
             digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-            keys.append(prefix_keys(s, k) if len(s) else None)
-        return {"doc_id": batch.column(0), "digest": pa.array(digest, pa.binary()), "n": pa.array(size, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))}
+            matrix = label_matrix(s) if len(s) else None
+            labels.append(matrix.tobytes() if len(s) else None)
+            met.append(sample.levels(s, matrix) if len(s) else [])
+        return {"doc_id": batch.column(0), "digest": pa.array(digest, pa.binary()), "n": pa.array(size, pa.int64()),
+                "labels": pa.array(labels, pa.binary()), "met": pa.array(met, pa.list_(pa.int32()))}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    return map_batches(rows, sign, "doc_id bigint, digest binary, n bigint, keys array<bigint>")
+    return map_batches(rows, sign, "doc_id bigint, digest binary, n bigint, labels binary, met array<int>")
+
+
+def chosen_level(counts: dict[int, int], threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The deepest level that reaches the target. From the full depth the prefix
+    is shortened while the links of the sample (``counts``: how many meet at
+    which level at the deepest) that meet there, or pairs at the threshold, fall
+    short of the recall; 1 at least."""
+    every = sum(counts.values())
+    level = DEPTH
+    while level > 1 and (sum(n for k, n in counts.items() if k >= level) < recall * every or recall_at(level, threshold) < recall):
+        level -= 1
+    return level
+
+
+def trie_edges(labels: DataFrame, level: int) -> DataFrame:
+    """(u, v): sets that stand side by side in a sorted trie and share ``level``
+    values. ``labels`` is (doc_id, labels). The labels of all trees are sorted by
+    a range partitioning, in which a prefix of many sets may run over several
+    partitions; a partition's first and last label meet their neighbours in a
+    table of two rows a partition."""
+    head = 1 + level * VALUE
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.frombuffer(b"".join(b.column(1).to_pylist()), f"S{LABEL}")
+            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LABEL), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([flat, pa.array(np.repeat(b.column(0).to_numpy(), TREES))], ["label", "rep"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            label = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, LABEL)
+            rep = b.column(1).to_numpy()
+            if last is not None:
+                label, rep = np.concatenate([last[0], label]), np.concatenate([last[1], rep])
+            else:
+                first = (label[:1].copy(), rep[:1].copy())
+            meet = (label[1:, :head] == label[:-1, :head]).all(1) & (rep[1:] != rep[:-1])
+            yield rows(rep[1:][meet], rep[:-1][meet])
+            last = (label[-1:].copy(), rep[-1:].copy())
+        if first is not None:
+            yield rows(first[1], None, first[0], False)
+            yield rows(last[1], None, last[0], True)
+
+    def rows(u, v, label=None, end=None) -> pa.RecordBatch:
+        n = len(u)
+        return pa.RecordBatch.from_pydict({
+            "u": pa.array(u, pa.int64()), "v": pa.nulls(n, pa.int64()) if v is None else pa.array(v, pa.int64()),
+            "head": pa.nulls(n, pa.binary()) if label is None else pa.array([label[0, :head].tobytes()], pa.binary()),
+            "end": pa.array([end] * n, pa.bool_())})
+
+    spelled = map_stream(labels.select("doc_id", "labels"), spell, "label binary, rep bigint")
+    ordered = spelled.repartitionByRange("label", "rep").sortWithinPartitions("label", "rep")
+    walked = stored(map_stream(ordered, walk, "u bigint, v bigint, head binary, end boolean").withColumn("part", F.spark_partition_id()))
+    ends = walked.where("head is not null")
+    along = Window.orderBy("part", "end")  # two rows a partition
+    across = ends.withColumns({"after": F.lead("head").over(along), "next": F.lead("u").over(along)}).where("end and head = after and u <> next")
+    return walked.where("head is null").select("u", "v").unionByName(across.select("u", F.col("next").alias("v")))
 
 
 def overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
@@ -203,12 +308,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     other and have no other links. Rows with a null doc_id give no row; rows that
     repeat a doc_id are one document, which has the text whose set's digest
     sorts first."""
-    signed = signatures(docs, prefix_length(threshold)).groupBy("doc_id").agg(F.min(F.struct("digest", "n", "keys")).alias("s"))
-    signed = stored(signed.select("doc_id", "s.digest", "s.n", "s.keys"))
-    reps = stored(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    spelled = reps.select("rep", F.explode("keys").alias("key"))
-    heads = spelled.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head <> last").select("key", "head")
-    edges = spelled.join(heads, "key").where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v"))
+    signed = stored(signatures(docs, draw(docs, threshold)))
+    counts = {r["level"]: r["n"] for r in signed.select(F.explode("met").alias("level")).groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}  # DEPTH + 1 rows
+    names = signed.groupBy("doc_id").agg(F.min(F.struct("digest", "n")).alias("s")).select("doc_id", "s.digest", "s.n")
+    names = stored(names)
+    reps = stored(names.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")))
+    first = reps.where("n > 0").select(F.col("rep").alias("doc_id"), "digest")
+    edges = trie_edges(signed.join(first, ["doc_id", "digest"], "left_semi"), chosen_level(counts, threshold))
     groups = stored(components(edges).join(reps.select(F.col("rep").alias("node"), "digest", "copies", "n"), "node").withColumnRenamed("node", "rep"))
     held = (docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
             .join(tasks(groups, threshold), "rep"))
@@ -218,7 +324,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = (reps.select("digest", "rep", "copies").join(links, "rep", "left")
              .join(classes.select(F.col("node").alias("rep"), F.col("component").alias("class_id")), "rep", "left")
              .select("digest", "rep", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    return signed.select("doc_id", "digest").join(found, "digest").select("doc_id", "class_id", "n_links", F.col("rep").alias("copy_id"))
+    return names.select("doc_id", "digest").join(found, "digest").select("doc_id", "class_id", "n_links", F.col("rep").alias("copy_id"))
 
 
 def first_of_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
