@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import line_dedup, lsh_forest, packing, quality, rules
-from tallyhouse.llm.common import stored, table
+from tallyhouse.llm.common import stored, table, unused
 from tallyhouse.llm.queries import tokenizer_file
 
 
@@ -29,7 +29,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a smaller doc_id holds go; n_chars follows the text."""
-    out = line_dedup.deduplicated(docs, line_dedup.build(docs)).drop("_lines")
+    name = unused(docs.columns, "_lines")
+    out = line_dedup.deduplicated(docs, line_dedup.build(docs), name).drop(name)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

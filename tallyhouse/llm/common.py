@@ -44,12 +44,25 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or one like it that no column bears (case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold BATCH_ROWS rows and BATCH_BYTES bytes
+    from now on, so that very long texts do not add up in a Python worker. Tasks
+    read the settings when they run, so they stay set."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow``. Batches are held to BATCH_ROWS rows and BATCH_BYTES
-    bytes, so that very long texts do not add up in a Python worker."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """``mapInArrow`` with ``bounded_batches``."""
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

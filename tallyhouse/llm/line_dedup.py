@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import SPACE, map_batches, stored, texts
+from .common import SPACE, map_batches, stored, texts, unused
 
 MIN_CHARS = 10        # code points of a key that can be dropped
 SHARD_KEYS = 1 << 16  # expected keys of a shard; its filter has twice as many slots
@@ -246,16 +246,18 @@ def dropped_keys(state: LineState) -> DataFrame:
             .groupBy("doc_id").agg(F.collect_list("digest").alias("dropped")))
 
 
-def deduplicated(docs: DataFrame, state: LineState) -> DataFrame:
+def deduplicated(docs: DataFrame, state: LineState, name: str = "_lines") -> DataFrame:
     """``docs`` with ``text`` less the lines whose key a smaller document of the
-    state holds, and a struct ``_lines``: n_lines, n_dropped, kept_sha256.
+    state holds, and a struct ``name``: n_lines, n_dropped, kept_sha256. A
+    column of that name in ``docs`` is replaced.
 
     Null and empty texts are one empty line. Rows with a null doc_id are not
     documents of the state and stay whole; rows that repeat a doc_id are one
     document and each loses the same keys. All rows and columns stay."""
-    docs = docs.drop("_lines")
+    docs = docs.drop(name)
+    gone_keys = unused(docs.columns, "_dropped")
     drops = dropped_keys(state)
-    joined = docs.join(drops, docs["doc_id"].cast("long") == drops["doc_id"], "left").select(*[docs[c] for c in docs.columns], drops["dropped"].alias("_llm_dropped"))
+    joined = docs.join(drops, docs["doc_id"].cast("long") == drops["doc_id"], "left").select(*[docs[c] for c in docs.columns], drops["dropped"].alias(gone_keys))
     docs_columns = docs.columns
     lines = StructType([StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept_sha256", StringType())])
 
@@ -270,6 +272,6 @@ def deduplicated(docs: DataFrame, state: LineState) -> DataFrame:
         text, n, less, sha = zip(*out, strict=True)
         columns = dict(zip(docs_columns, batch.columns[:-1], strict=True))
         columns["text"] = pa.array(text, pa.binary()).cast(pa.string())
-        return columns | {"_lines": pa.StructArray.from_arrays([pa.array(n), pa.array(less), pa.array(sha)], lines.names)}
+        return columns | {name: pa.StructArray.from_arrays([pa.array(n), pa.array(less), pa.array(sha)], lines.names)}
 
-    return map_batches(joined, cut, StructType([*docs.schema.fields, StructField("_lines", lines)]))
+    return map_batches(joined, cut, StructType([*docs.schema.fields, StructField(name, lines)]))

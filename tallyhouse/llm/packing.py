@@ -3,8 +3,8 @@
 Documents are cut at multiples of the sequence length only; what is left of
 each has a length class on a grid. A linear program over the class histogram
 finds how often to use which pattern (a multiset of classes that fits one
-sequence); a knapsack dynamic program over the duals prices new patterns until
-none helps. Patterns are rounded down, the rest of the histogram is filled
+sequence); it starts from first-fit decreasing, and a knapsack dynamic program
+over the duals prices new patterns until none helps. Patterns are rounded down, the rest of the histogram is filled
 first-fit decreasing, and the pieces, ranked within their class, take the
 patterns' places. The program's size depends on the grid, not on the input;
 ranks come from counts of hashed parts of a class, so no class is one task.
@@ -28,6 +28,7 @@ SEQUENCE = 4096
 GRID = 8            # tokens of a length class
 END_ID = 2
 GAP = 1e-4          # the program stops this close to its bound
+ROUNDS = 1500       # or after so many rounds of pricing; the plan then holds the histogram with a few more sequences
 RANK_ROWS = 4_000   # rows of a class that are ranked together, about
 
 
@@ -55,21 +56,49 @@ def knapsack(weights: np.ndarray, values: np.ndarray, capacity: int) -> tuple[fl
     return float(best[capacity]), counts
 
 
-def linear_program(weights: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
-    """(patterns as columns, how often each is used, fractions allowed): the
-    fewest sequences that hold the demand, within ``gap`` of the optimum."""
-    n = len(weights)
-    patterns = np.diag(capacity // weights).astype(float)
-    inverse = np.diag(1 / np.diag(patterns))
-    use = inverse @ demand
-    bound = 0.0
-    while True:
+def decreasing_start(weights: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(patterns, inverse, use): a first basis, by first-fit decreasing. Each
+    pattern takes the largest classes left and is used until one of them is
+    exhausted, which becomes its row; later patterns do not hold that class, so
+    the basis is triangular, and as good as first-fit decreasing."""
+    n, left = len(weights), demand.astype(float)
+    patterns, use, order = np.zeros((n, n)), np.zeros(n), []
+    open_ = np.ones(n, bool)
+    for _ in range(n):
+        room, column = capacity, np.zeros(n)
+        for i in np.flatnonzero(open_)[::-1]:
+            if k := room // weights[i]:
+                column[i] = k
+                room -= k * weights[i]
+        rows = np.flatnonzero(column)
+        r = rows[np.argmin(left[rows] / column[rows])]
+        times = left[r] / column[r]
+        left = np.maximum(left - times * column, 0)
+        open_[r] = False
+        patterns[:, r], use[r] = column, times
+        order.append(r)
+    triangle = patterns[np.ix_(order, order)]  # lower triangular: rows exhausted earlier stand in earlier patterns only
+    inverse = np.zeros((n, n))
+    inverse[np.ix_(order, order)] = np.linalg.inv(triangle)
+    return patterns, inverse, use
+
+
+def linear_program(weights: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
+    """(patterns as columns, how often each is used, fractions allowed, bound):
+    the fewest sequences that hold the demand, within ``gap`` of the bound, the
+    larger of that of the duals and the weight of all pieces; or what ``rounds``
+    rounds of pricing reach. Either holds the demand."""
+    patterns, inverse, use = decreasing_start(weights, demand, capacity)
+    bound = float(weights @ demand) / capacity
+    for _ in range(rounds):
+        total = use.sum()
+        if total - bound <= gap * total:
+            break
         duals = inverse.sum(0)  # every pattern costs one sequence
         value, column = knapsack(weights, duals, capacity)
-        total = use.sum()
         bound = max(bound, total / value)
         if value <= 1 + 1e-9 or total - bound <= gap * total:
-            return patterns, use
+            break
         step = inverse @ column
         rows = np.flatnonzero(step > 1e-9)
         r = rows[np.argmin(use[rows] / step[rows])]
@@ -81,6 +110,7 @@ def linear_program(weights: np.ndarray, demand: np.ndarray, capacity: int, gap:
         step[r] = 0
         inverse -= np.outer(step, inverse[r])
         patterns[:, r] = column
+    return patterns, use, bound
 
 
 def first_fit(weights: np.ndarray, left: np.ndarray, capacity: int) -> list[np.ndarray]:
@@ -105,7 +135,7 @@ def plan(histogram: dict[int, int], capacity: int = SEQUENCE // GRID) -> list[tu
     if not len(weights):
         return []
     demand = np.array([histogram[k] for k in weights], np.int64)
-    patterns, use = linear_program(weights, demand.astype(float), capacity)
+    patterns, use, _ = linear_program(weights, demand.astype(float), capacity)
     out, left = [], demand.copy()
     for p in np.argsort(-use, kind="stable"):
         column = patterns[:, p].astype(np.int64)

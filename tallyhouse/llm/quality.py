@@ -18,11 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import SPACE, held_out, map_batches, repeated_words, stored, texts, training_labels, word_codes
+from .common import SPACE, bounded_batches, held_out, map_batches, repeated_words, stored, texts, training_labels, unused, word_codes
 
 FEATURES = ("words", "word_length", "symbols", "upper", "exclaims", "repeats", "dup_lines", "distinct", "line_words", "top_word", "doubled", "stops")
 SHRINK = 0.1      # least share of the scaled identity in a class covariance
@@ -142,18 +141,32 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def with_score(docs: DataFrame, model: Model, name: str = "_quality") -> DataFrame:
-    """``docs`` with the score as column ``name`` (replaced if there)."""
-    docs = docs.drop(name)
+def with_features(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the feature vector as column ``name``. Only the text goes to
+    the Python workers, and only the vector comes back."""
+    bounded_batches(docs.sparkSession)
 
-    def add(batch: pa.RecordBatch) -> dict:
-        return dict(zip(batch.schema.names, batch.columns, strict=True)) | {name: model.scores(feature_matrix(batch))}
+    @F.arrow_udf("array<double>")
+    def vector(text: pa.Array) -> pa.Array:
+        return pa.array(list(feature_matrix(pa.RecordBatch.from_arrays([text], ["text"]))), pa.list_(pa.float64()))
 
-    return map_batches(docs, add, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.withColumn(name, vector(F.col("text")))
+
+
+def score_of(model: Model, vector: str) -> Column:
+    @F.arrow_udf("double")
+    def score(x: pa.Array) -> pa.Array:
+        return pa.array(model.scores(np.array(x.to_pylist(), float).reshape(-1, len(FEATURES))), pa.float64())
+
+    return score(F.col(vector))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` scored at the threshold or above, with their own
-    columns; the model is fitted on the labelled rows among them."""
-    model = fit(feature_table(docs.join(training_labels(labels, "quality").select("doc_id"), "doc_id", "left_semi")), labels)
-    return with_score(docs, model).where(F.col("_quality") >= threshold).drop("_quality")
+    columns; the model is fitted on the labelled rows among them. Features are
+    worked out once and written with the rows; the labels meet them by id, the
+    texts are not shuffled."""
+    name = unused(docs.columns, "_features")
+    rows = stored(with_features(docs, name))
+    model = fit(rows.select("doc_id", F.col(name).alias("x")), labels)
+    return rows.where(score_of(model, name) >= threshold).drop(name)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import SPACE, map_batches, repeated_words, texts, word_codes
+from .common import SPACE, map_batches, repeated_words, texts, unused, word_codes
 
 # fixed values: rules by bit; each holds if its expression over the ledger's measurements is true
 FAILS = {
@@ -60,27 +60,26 @@ def measure(text: bytes) -> tuple[int, ...]:
             repeated_words(ids, distinct), len(lines), without(_UPPER), without(_BANG))
 
 
-def _measured(batch: pa.RecordBatch) -> dict:
-    rows = np.array([measure(t) for t in texts(batch)], np.int64).reshape(-1, len(MEASURES))
-    columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-    return columns | {"_ledger": pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(MEASURES))], MEASURES)}
-
-
 def with_ledger(docs: DataFrame, name: str = "_ledger") -> DataFrame:
     """``docs`` with a struct column ``name``: MEASURES and ``failed``, the mask
     of failed rules. ``docs`` keeps all its rows and columns; a null text has no
     word. A column of that name in ``docs`` is replaced."""
-    docs = docs.drop(name, "_ledger")
-    schema = StructType([*docs.schema.fields, StructField("_ledger", StructType([StructField(m, LongType()) for m in MEASURES]))])
-    out = map_batches(docs, _measured, schema)
-    scope = "named_struct(" + ", ".join(f"'{m}', _ledger.{m}" for m in MEASURES) + ")"
-    failed = " + ".join(f"if({_qualified(rule)}, {BIT[key]}L, 0L)" for key, rule in FAILS.items())
-    out = out.withColumn("_ledger", F.expr(scope).withField("failed", F.expr(failed)))
-    return out if name == "_ledger" else out.withColumnRenamed("_ledger", name)
+    docs = docs.drop(name)
+
+    def measured(batch: pa.RecordBatch) -> dict:
+        rows = np.array([measure(t) for t in texts(batch)], np.int64).reshape(-1, len(MEASURES))
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+        return columns | {name: pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(MEASURES))], MEASURES)}
+
+    schema = StructType([*docs.schema.fields, StructField(name, StructType([StructField(m, LongType()) for m in MEASURES]))])
+    out = map_batches(docs, measured, schema)
+    scope = "named_struct(" + ", ".join(f"'{m}', `{name}`.{m}" for m in MEASURES) + ")"
+    failed = " + ".join(f"if({_qualified(rule, name)}, {BIT[key]}L, 0L)" for key, rule in FAILS.items())
+    return out.withColumn(name, F.expr(scope).withField("failed", F.expr(failed)))
 
 
-def _qualified(rule: str) -> str:
-    return " ".join(f"_ledger.{x}" if x in MEASURES else x for x in rule.split())
+def _qualified(rule: str, name: str) -> str:
+    return " ".join(f"`{name}`.{x}" if x in MEASURES else x for x in rule.split())
 
 
 def passes(policy: Policy, failed: Column) -> Column:
@@ -110,4 +109,5 @@ def ablations(ledger_rows: DataFrame, policy: Policy) -> DataFrame:
 
 def kept_documents(docs: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with their own columns."""
-    return with_ledger(docs).where(passes(policy, F.col("_ledger.failed"))).drop("_ledger")
+    name = unused(docs.columns, "_ledger")
+    return with_ledger(docs, name).where(passes(policy, F.col(f"{name}.failed"))).drop(name)

@@ -32,13 +32,13 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def expressions(urls: DataFrame, lengths: list[int]) -> DataFrame:
-    """(host, path, expression) rows: every label suffix of the host with every
-    prefix of the path whose length some rule's path has, a space between.
-    ``lengths`` are those lengths, at most one for each character of the
-    longest rule path."""
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def expressions(urls: DataFrame, labels: list[int], lengths: list[int]) -> DataFrame:
+    """(host, path, expression) rows: every label suffix of the host that has as
+    many labels as some rule's host, with every prefix of the path whose length
+    some rule's path has, a space between. ``labels`` and ``lengths`` are those
+    numbers, at most one for each label and character of the longest rule."""
+    held = F.length("host") - F.length(F.replace(F.col("host"), F.lit("."))) + 1
+    suffixes = F.filter(F.array(*[F.when(held >= n, F.substring_index("host", ".", -n)) for n in labels]), lambda x: x.isNotNull())
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     return (urls.select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
             .select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
@@ -59,12 +59,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDI
     left out. Repeated rows and repeated rules change nothing."""
     rules = rules.select("verdict", "host", "path").dropna().where(F.col("host") != "").distinct()
     lengths = [r[0] for r in rules.select(F.length("path")).distinct().orderBy(F.length("path")).collect()]
+    labels = [r[0] for r in rules.select(F.size(F.split("host", r"\."))).distinct().collect()]
     rules = digested(rules.select("verdict", F.concat("host", "path").alias("rule"), F.length(F.concat("host", "path")).alias("n"),
                                   F.concat_ws(" ", "host", "path").alias("expression"))).drop("expression").withColumnRenamed("digest", "rule_digest")
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not lengths:
         return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    spelled = digested(expressions(rows.where(F.col("host") != "").select("host", "path").distinct(), lengths))
+    spelled = digested(expressions(rows.where(F.col("host") != "").select("host", "path").distinct(), labels, lengths))
     found = spelled.join(rules, "short").where(F.col("digest") == F.col("rule_digest"))
     order = F.struct(-F.col("n"), F.when(F.col("verdict") == "block", 0).otherwise(1), "rule", "verdict")
     best = found.groupBy("host", "path").agg(F.min(order).alias("best")).select("host", "path", "best.rule", "best.verdict")
