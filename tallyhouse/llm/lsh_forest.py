@@ -114,10 +114,12 @@ class Sample:
 
 
 def draw(docs: DataFrame, threshold: float = THRESHOLD) -> Sample:
-    """SAMPLE documents, those of the least hashes of their id; reaches the
-    driver: SAMPLE texts of SAMPLE_CHARS code points at most."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    drawn = rows.orderBy(F.xxhash64("doc_id", F.lit(7))).limit(SAMPLE)
+    """SAMPLE documents, those of the least hashes of their id, less the longer
+    ones. Ids are drawn first, so that a task sends SAMPLE ids to the driver and
+    no texts; then their texts, of SAMPLE_CHARS code points at most."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
+    ids = [r[0] for r in rows.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(7))).limit(SAMPLE).collect()]
+    drawn = rows.where(F.col("doc_id").isin(ids) & (F.length("text") <= SAMPLE_CHARS)).limit(SAMPLE)
     return Sample([shingles(r["text"].encode("utf-8", "surrogatepass")) for r in drawn.collect()], threshold)
 
 
