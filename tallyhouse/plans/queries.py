@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..operators import actions, catalogue, edits, invoicing, merge, posting, reports, units
+from ..operators import actions, catalogue, edits, invoicing, merge, posting, reports, tiers, units
 from ..operators.cascade import cascade_own_ladders, stock_cascade
 from ..operators.demand import demand
 from ..session import scratch_path
@@ -429,6 +429,33 @@ def q_merge_conflicts(spark, d):
     return _merged(spark, d).conflicts.select("product_id", "unit_id", *[F.col(f"{s}.stock").alias(f"{s}_stock") for s in ("base", "theirs", "mine")])
 
 
+def tier_table(L: Ledger) -> DataFrame:
+    """The fixed tiers as a table, for each year that has orders, with a first
+    discount of its own; those of every fifth year overlap."""
+    years = L.draft_headers.select(F.year("invoice_date").alias("y")).where("y is not null").distinct()
+    fixed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(lo).alias("low"), F.lit(hi).cast("double").alias("high"), *[F.lit(x).alias(f"discount{k + 1}") for k, x in enumerate(ds)])
+                      for i, (lo, hi, *ds) in enumerate(S.DISCOUNT_TIERS)])
+    rows = years.select("y", F.explode(fixed).alias("t")).select("y", "t.*")
+    low = F.when((F.col("y") % 5 == 0) & (F.col("i") == 1), F.col("low") - 1).otherwise(F.col("low"))
+
+    def first_of(year) -> F.Column:
+        return F.concat(year.cast("string"), F.lit("-01-01")).cast("timestamp_ntz")
+
+    return rows.select(first_of(F.col("y")).alias("valid_from"), first_of(F.col("y") + 1).alias("valid_to"), low.alias("low"), "high",
+                       (F.col("discount1") + (F.col("y") % 3).cast("double") / 100).alias("discount1"), "discount2", "discount3")
+
+
+def q_tier_table_discounts(spark, d):
+    """Discounts of the draft invoices by the tiers valid at their date."""
+    L = Ledger(spark, d)
+    base = invoicing.base_unit_quantity(_out_lines(L)).join(L.draft_headers.select("invoice_id", "invoice_date"), "invoice_id")
+    return tiers.discounts_of(base, tier_table(L))
+
+
+def q_tier_table_rejects(spark, d):
+    return tiers.split_tiers(tier_table(Ledger(spark, d)))[1]
+
+
 def _onboarded(spark, d):
     L = Ledger(spark, d)
     return catalogue.onboard_products(L.new_products, L.product, L.inventory)
