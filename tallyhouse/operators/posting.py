@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -102,6 +102,14 @@ def unserved_lines(lines: DataFrame, valid: DataFrame) -> DataFrame:
     return lines.join(valid.select("product_id", "unit_id"), ["product_id", "unit_id"], "left_anti")
 
 
+def with_statuses(invoice: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Invoices with the status that ``statuses`` (invoice_id, status; one row
+    an invoice) gives them; the others as they are."""
+    new = statuses.select("invoice_id", F.col("status").alias("_new_status"))
+    return invoice.join(new, "invoice_id", "left").select(*[
+        F.coalesce("_new_status", "status").alias("status") if c == "status" else F.col(c) for c in invoice.columns])
+
+
 @dataclass
 class Posting:
     committed: bool
@@ -111,15 +119,44 @@ class Posting:
     unserved: DataFrame | None = None        # open lines without a usable inventory row
 
 
+def _flagged(invoice: DataFrame, held: DataFrame | None, status: str) -> DataFrame:
+    """``mark_processed``, but for the invoices held back."""
+    if held is None:
+        return mark_processed(invoice, status)
+    flag = F.when(F.col("_held"), F.col("is_process")).when(F.col("status") == status, F.lit(1)).otherwise(F.col("is_process"))
+    kept = held.withColumn("_held", F.lit(True))
+    return invoice.join(kept, "invoice_id", "left").withColumn("is_process", flag.cast("int")).select(*invoice.columns)
+
+
+def _in_folders(folders: set[tuple[str | None, ...]]) -> Column:
+    """Whether an invoice lies in one of the (status, is_process) folders; a
+    condition on folder columns only, so the scan opens no other folder."""
+    test = F.lit(False)
+    for status, flag in sorted(folders, key=str):
+        test = test | (F.col("status").eqNullSafe(status) & F.col("is_process").eqNullSafe(None if flag is None else int(flag)))
+    return test
+
+
+def _rewrite(store: TableStore, changed: set[tuple[str | None, ...]], rows) -> dict[str, tuple[DataFrame, list[str]]]:
+    """The rewrite of the invoices in the ``changed`` folders by ``rows``, a
+    function of them; empty where no folder changes."""
+    kept = [f for f, values in store.folders("invoice").items() if values not in changed]
+    return {"invoice": (rows(store.read("invoice").where(_in_folders(changed))), kept)} if changed else {}
+
+
 def post_invoices(store: TableStore, status: str = S.STATUS_INVOICE, parity: bool = False,
                   invoice: DataFrame | None = None, txn: DataFrame | None = None,
-                  conversion: DataFrame | None = None) -> Posting:
+                  conversion: DataFrame | None = None, edits: DataFrame | None = None,
+                  append: dict[str, DataFrame] | None = None, tag: str | None = None) -> Posting:
     """Post the open ``status`` invoices of the store: gate, cascade, mark.
 
     ``invoice`` is an edited invoice table (e.g. statuses changed in a grid)
     to post instead of the stored one; it is written with the posting, so a
     refused posting writes nothing, edits included. ``txn`` and ``conversion``
-    are only read; they default to the store's tables.
+    are only read; they default to the store's tables. ``edits`` (invoice_id,
+    status; one row an invoice) are status edits to the stored invoices that
+    hold whether the posting is refused or not: they, the rows to ``append`` to
+    other tables and the posting are one commit, under ``tag``.
 
     1. inventory rows with a duplicate or missing (product, unit) key or a unit
        off the ladder are set aside (they pass through unchanged and are
@@ -133,13 +170,31 @@ def post_invoices(store: TableStore, status: str = S.STATUS_INVOICE, parity: boo
        back to the driver;
     4. new inventory (cascade) and invoices (flag) are staged under one
        version; unless ``parity``, a NULL or negative stock refuses the posting
-       and drops what was staged;
+       and drops what was staged. Of the invoices only the (status, is_process)
+       folders with open or edited rows are read and written; the others are
+       carried into the version as they are, so the bytes follow the open
+       invoices and not the table (an edited table given as ``invoice`` is
+       written whole);
     5. the commit marker switches both tables together.
     """
+    if edits is not None and invoice is not None:
+        raise ValueError("either an edited invoice table or edits to the stored one")
     inventory = store.read("inventory")
     conversion = store.read("size_conversion") if conversion is None else conversion
     txn = store.read("txn") if txn is None else txn
-    invoice = store.read("invoice") if invoice is None else invoice
+    whole, edited, append = invoice, set(), append or {}
+    if invoice is None:
+        invoice = store.read("invoice")
+        if edits is not None:  # at most one row a folder comes back
+            moved = invoice.join(edits.select("invoice_id", F.col("status").alias("_to")), "invoice_id").where(~F.col("status").eqNullSafe(F.col("_to")))
+            edited = {(r["status"], None if r["is_process"] is None else str(r["is_process"])) for r in moved.select("status", "is_process").distinct().collect()}
+            invoice = with_statuses(invoice, edits)
+
+    def refused(reason: str) -> Posting:
+        change = _rewrite(store, edited, lambda rows: with_statuses(rows, edits))
+        if change or append or tag is not None:
+            store.commit(store.stage(append=append, rewrite=change), tag=tag)
+        return Posting(False, store.version(), reason, rejects, unserved)
 
     valid, rejects = cascade_rows(inventory)
     # The demand (the one aggregate over the transaction lines) is computed once
@@ -155,20 +210,20 @@ def post_invoices(store: TableStore, status: str = S.STATUS_INVOICE, parity: boo
     gate_demand = demand(txn, invoice, S.TXN_OUT, S.STATUS_PAID) if parity else open_demand
     gate = sufficiency_gate(sufficiency_of(valid, conversion, gate_demand, parity))
     if not gate.first()["sufficient"]:
-        return Posting(False, store.version(), "insufficient stock", rejects, unserved)
+        return refused("insufficient stock")
 
     new_inventory = stock_cascade(valid, conversion, open_demand, validated=True).unionByName(rejects)
-    marked = mark_processed(invoice, status)
-    if held is not None:
-        kept = held.withColumn("_held", F.lit(True))
-        flag = F.when(F.col("_held"), F.col("is_process")).when(F.col("status") == status, F.lit(1)).otherwise(F.col("is_process"))
-        marked = invoice.join(kept, "invoice_id", "left").withColumn("is_process", flag.cast("int")).select(*invoice.columns)
-    version = store.stage({"inventory": new_inventory, "invoice": marked})
+    if whole is not None:
+        version = store.stage({"inventory": new_inventory, "invoice": _flagged(whole, held, status)}, append)
+    else:
+        unmarked = {f for f in store.folders("invoice").values() if f[0] == status and f[1] != "1"}
+        change = _rewrite(store, edited | unmarked, lambda rows: _flagged(rows if edits is None else with_statuses(rows, edits), held, status))
+        version = store.stage({"inventory": new_inventory}, append, change)
     if not parity:
         staged = store.read("inventory", version)
         bad = staged.agg(F.count(F.when(F.col("stock").isNull() | (F.col("stock") < 0), 1)).alias("n")).first()["n"]
         if bad:
             store.abort(version)
-            return Posting(False, store.version(), f"{bad} inventory rows would have NULL or negative stock", rejects, unserved)
-    store.commit(version, ["inventory", "invoice"])
+            return refused(f"{bad} inventory rows would have NULL or negative stock")
+    store.commit(version, tag=tag)
     return Posting(True, version, "posted", rejects, unserved)

@@ -116,6 +116,13 @@ USERS = T.StructType([
     T.StructField("approved", T.IntegerType()),
 ])
 
+# A status edit, as the posting stream takes them; those it rejects are a table.
+EDIT = T.StructType([
+    T.StructField("invoice_id", T.LongType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("edited_at", T.TimestampNTZType()),
+])
+
 TABLES = {
     "product": PRODUCT,
     "unit_size": UNIT_SIZE,
@@ -127,6 +134,9 @@ TABLES = {
     "users": USERS,
 }
 
+# Tables that the ledger writes besides: what a stream refused.
+LOGS = {"edit_reject": EDIT}
+
 # Implied keys per table (never enforced by the original application).
 KEYS = {
     "product": ("product_id",),

@@ -15,6 +15,7 @@ from __future__ import annotations
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -59,8 +60,10 @@ _MARKER = T.StructType([
 
 # Directory partitioning of the stored ledger tables: the direction filter of
 # every demand / supply query and the status filter of every invoice query
-# prune whole directories instead of reading and filtering rows.
-PARTITION_BY = {"txn": ["txn_type"], "invoice": ["status"]}
+# prune whole directories instead of reading and filtering rows. The open
+# invoices of a status are folders of their own, so a posting rewrites those
+# and carries the others into its version.
+PARTITION_BY = {"txn": ["txn_type"], "invoice": ["status", "is_process"]}
 
 # No bucketing by invoice: a bucketed scan gives all lines of a hot invoice
 # (possibly a third of the table) to one task, in the join and in per-invoice
@@ -69,6 +72,12 @@ PARTITION_BY = {"txn": ["txn_type"], "invoice": ["status"]}
 
 SEGMENT = "segment"
 EMPTY = "__EMPTY__"  # an empty string in a folder column
+NULL = "__HIVE_DEFAULT_PARTITION__"  # Spark's folder name of a NULL
+
+
+def _text_folders(name: str, schema: T.StructType) -> list[str]:
+    """The folder columns of a table that hold strings."""
+    return [c for c in PARTITION_BY.get(name, ()) if schema[c].dataType == T.StringType()]
 
 
 class CommitConflict(RuntimeError):
@@ -85,9 +94,11 @@ class TableStore:
     """Versioned ledger tables in one folder (see module doc).
 
     A table lives under ``<root>/<table>/segment=<id>/``; a version of a table
-    is a list of segments. A replacement writes one new segment, an append
-    writes one new segment and keeps the previous ones, so appends never touch
-    committed files and several tables (replaced or appended) switch together
+    is a list of segments, or of the partition folders of a segment that are
+    still in force. A replacement writes one new segment, an append
+    writes one new segment and keeps the previous ones, a rewrite of some
+    partition folders writes one new segment and keeps the other folders, so
+    committed files are never touched and several tables switch together
     under one commit marker ``_commits/v=<n>``, written last. A read lists
     the version's own segment folders. Segments of a
     failed attempt are never listed in a marker and so never read.
@@ -97,7 +108,7 @@ class TableStore:
                  schemas: dict[str, T.StructType] | None = None):
         self.spark = spark
         self.root = (root or scratch_path(spark, "store")).rstrip("/")
-        self.schemas = schemas or S.TABLES
+        self.schemas = schemas or S.TABLES | S.LOGS
         self._entries: dict[str, dict[int, Entry]] | None = None
         self._tags: set[str] = set()
         self._staged: dict[int, dict[str, Entry]] = {}
@@ -156,32 +167,54 @@ class TableStore:
         folder = f"{self.root}/{table}"
         df = (self.spark.read.schema(schema).option("basePath", folder)
               .parquet(*[f"{folder}/{SEGMENT}={s}" for s in entry.segments]))
-        empty = F.lit(EMPTY)
-        return df.select(*[F.when(F.col(c) == empty, F.lit("")).otherwise(F.col(c)).alias(c) if c in PARTITION_BY.get(table, ()) else F.col(c)
+        empty, named = F.lit(EMPTY), _text_folders(table, schema)
+        return df.select(*[F.when(F.col(c) == empty, F.lit("")).otherwise(F.col(c)).alias(c) if c in named else F.col(c)
                            for c in schema.fieldNames()])
 
+    def folders(self, table: str) -> dict[str, tuple[str | None, ...]]:
+        """The partition folders of the newest version, below the table's
+        folder, and the values that name them (as text, in the order of
+        PARTITION_BY). A listing of folder names; no file is opened."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        conf, depth = self.spark.sparkContext._jsc.hadoopConfiguration(), len(PARTITION_BY[table])
+        out = {}
+        todo = [f"{SEGMENT}={s}" for s in self._entry(table, None).segments]
+        while todo:
+            folder = todo.pop()
+            if folder.count("/") == depth:
+                values = [unquote(f.split("=", 1)[1]) for f in folder.split("/")[1:]]
+                out[folder.split("=", 1)[1]] = tuple({NULL: None, EMPTY: ""}.get(x, x) for x in values)
+                continue
+            path = hadoop.Path(f"{self.root}/{table}/{folder}")
+            for status in path.getFileSystem(conf).listStatus(path):
+                if status.isDirectory() and "=" in status.getPath().getName():
+                    todo.append(f"{folder}/{status.getPath().getName()}")
+        return out
+
     # ---- writing ---------------------------------------------------------------
     def _write(self, name: str, df: DataFrame, segment: str) -> None:
         rows = conform(df, self.schemas[name])
-        for c in PARTITION_BY.get(name, ()):  # a folder named by an empty string would be read as NULL
+        for c in _text_folders(name, self.schemas[name]):  # a folder named by an empty string would be read as NULL
             rows = rows.withColumn(c, F.when(F.col(c) == "", F.lit(EMPTY)).otherwise(F.col(c)))
         w = rows.write.mode("errorifexists")
         if name in PARTITION_BY:
             w = w.partitionBy(*PARTITION_BY[name])
         w.parquet(f"{self.root}/{name}/{SEGMENT}={segment}")
 
-    def stage(self, replace: dict[str, DataFrame] | None = None,
-              append: dict[str, DataFrame] | None = None) -> int:
-        """Write the replacements and appends of one change under the next
-        version, uncommitted, as concurrent jobs (one thread submits each)."""
-        replace, append = replace or {}, append or {}
-        if set(replace) & set(append):
-            raise ValueError("a table is either replaced or appended to in one change")
+    def stage(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None,
+              rewrite: dict[str, tuple[DataFrame, list[str]]] | None = None) -> int:
+        """Write the replacements, appends and rewrites of one change under the
+        next version, uncommitted, as concurrent jobs (one thread submits each).
+        A rewrite is (rows, kept): the rows join the kept ones of ``folders``."""
+        replace, append, rewrite = replace or {}, append or {}, rewrite or {}
+        if len({*replace, *append, *rewrite}) < len(replace) + len(append) + len(rewrite):
+            raise ValueError("a table is either replaced, rewritten or appended to in one change")
         v = max(self.version(), max(self._staged, default=0)) + 1
         jobs, entries = [], {}
-        for name, df in [*replace.items(), *append.items()]:
+        for name, df in [*replace.items(), *append.items(), *((n, rows) for n, (rows, _) in rewrite.items())]:
             seg = f"{v}-{uuid.uuid4().hex[:8]}"
             before = self._entry(name, None).segments if name in append and self.version(name) else ()
+            before = tuple(rewrite[name][1]) if name in rewrite else before
             entries[name] = Entry(v, (*before, seg))
             jobs.append((name, df, seg))
         self._staged[v] = entries
@@ -244,8 +277,8 @@ class TableStore:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
         gone = []
         for table, by_v in self._committed().items():
-            live = {s for v in sorted(by_v)[-keep:] for s in by_v[v].segments}
-            live |= {s for staged in self._staged.values() if table in staged for s in staged[table].segments}
+            live = {s.split("/")[0] for v in sorted(by_v)[-keep:] for s in by_v[v].segments}
+            live |= {s.split("/")[0] for staged in self._staged.values() if table in staged for s in staged[table].segments}
             folder = hadoop.Path(f"{self.root}/{table}")
             fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
             for status in fs.listStatus(folder):
