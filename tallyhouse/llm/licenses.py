@@ -4,21 +4,24 @@ with license templates.
 Tokens are ordered by their frequency in the corpus, rarest first (counted
 over all texts, for the templates' tokens only). A block that contains at
 least the threshold's share of a template must share a token with the
-template's prefix, its rarest |T| - ceil(t |T|) + 1 tokens; the length filter
-asks for ceil(t |T|) distinct tokens in the block, and the positional filter
-drops a block once the template tokens after the matched one cannot make up
-the threshold. What passes is verified by the exact overlap.
-
-Blocks of a template with m words are its windows of 2m words at every start
-(``every_block``); running counts over the places of the template's tokens
-change only where one enters or leaves a window. ``best_blocks`` looks at the
-windows that start at multiples of m only, as the registered SQL does.
+template's prefix, its rarest |T| - ceil(t |T|) + 1 tokens (prefix filter) and
+hold ceil(t |T|) of its tokens (length filter). Such a block lies around a
+place of a prefix token, so only the template's tokens less than a block away
+from one are looked at (positional filter). What passes is verified by the
+exact overlap.
+
+Blocks of a template with m words are its windows of 2m words at every start;
+running counts over the places of the template's tokens change only where one
+enters or leaves a window. A block must also hold the template's marks, the
+words that tell its license from its neighbours.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -70,6 +73,11 @@ class Template:
     need: int                  # tokens that a block must contain
     marks: tuple[tuple[tuple[bytes, ...], ...], ...] = ()  # of each, one spelling must stand in a block
 
+    @property
+    def prefix(self) -> tuple[bytes, ...]:
+        """The rarest tokens, one of which any block must hold."""
+        return self.tokens[: len(self.tokens) - self.need + 1]
+
 
 def token_counts(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, int]:
     """How often each template token stands in all texts; at most one row per
@@ -88,12 +96,17 @@ def token_counts(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, int]:
     return dict.fromkeys(tokens, 0) | {r["token"].encode(): r["n"] for r in rows}
 
 
+def marks_of(text: str) -> list[tuple[str, ...]]:
+    """The spellings of each mark that a template holds."""
+    return [spellings for mark, spellings in MARKS if f" {mark} " in f" {text} "]
+
+
 def prepared(counts: dict[bytes, int], threshold: float = THRESHOLD, templates=TEMPLATES) -> list[Template]:
     out = []
     for label, text in templates:
         words = text.encode().split()
         tokens = tuple(sorted(set(words), key=lambda w: (counts.get(w, 0), w)))
-        marks = tuple(tuple(tuple(x.encode().split()) for x in spellings) for mark, spellings in MARKS if f" {mark} " in f" {text} ")
+        marks = tuple(tuple(tuple(x.encode().split()) for x in spellings) for spellings in marks_of(text))
         out.append(Template(label, len(words), tokens, math.ceil(threshold * len(tokens) - 1e-9), marks))
     return out
 
@@ -110,32 +123,13 @@ def mark_places(words: list[bytes], spellings: tuple[tuple[bytes, ...], ...]) ->
     return sorted(out)
 
 
-def best_blocks(words: list[bytes], templates: list[Template]) -> list[tuple[str, float, int]]:
-    """(label, containment, first word of the block) of every block that meets
-    its template's threshold."""
-    found = []
-    present = set(words)
-    for t in templates:
-        size, prefix = len(t.tokens), t.tokens[: len(t.tokens) - t.need + 1]
-        hit = [w for w in prefix if w in present]
-        if not hit or sum(w in present for w in t.tokens) < t.need:
-            continue
-        rank = {w: i for i, w in enumerate(t.tokens)}
-        starts: dict[int, int] = {}  # block -> smallest rank of a prefix token in it
-        for w in hit:
-            at = -1
-            for _ in range(words.count(w)):
-                at = words.index(w, at + 1)
-                for b in {at // t.words, max(0, at // t.words - 1)}:
-                    starts[b] = min(starts.get(b, size), rank[w])
-        for b, first in sorted(starts.items()):
-            block = set(words[b * t.words : (b + 2) * t.words])
-            if len(block) < t.need or size - first < t.need:  # length and positional filters
-                continue
-            overlap = sum(w in block for w in t.tokens)
-            if overlap >= t.need:
-                found.append((t.label, overlap / size, b * t.words))
-    return found
+def close_to(anchors: list[int], reach: int) -> Callable[[int], bool]:
+    """Whether a place is less than ``reach`` words from one of the anchors, which are sorted."""
+    def near(i: int) -> bool:
+        k = bisect(anchors, i)
+        return (k > 0 and i - anchors[k - 1] < reach) or (k < len(anchors) and anchors[k] - i < reach)
+
+    return near
 
 
 def every_block(words: list[bytes], templates: list[Template]) -> list[tuple[str, float, int]]:
@@ -145,19 +139,23 @@ def every_block(words: list[bytes], templates: list[Template]) -> list[tuple[str
     found, places, present = [], defaultdict(list), set(words)
     wanted = []
     for t in templates:
-        if any(w in present for w in t.tokens[: len(t.tokens) - t.need + 1]) and sum(w in present for w in t.tokens) >= t.need:
+        if any(w in present for w in t.prefix) and sum(w in present for w in t.tokens) >= t.need:
             marks = [mark_places(words, m) for m in t.marks]
             if all(marks):
                 wanted.append((t, marks))
     tokens = frozenset().union(*(t.tokens for t, _ in wanted))
     for i, w in enumerate(words if wanted else ()):
         if w in tokens:
-            places[w].append((i, i))
+            places[w].append(i)
     for t, marks in wanted:
         size = 2 * t.words
+        near = close_to(sorted(i for w in t.prefix for i in places.get(w, ())), size)
+        held_by = {w: spots for w in t.tokens if (spots := [(i, i) for i in places.get(w, ()) if near(i)])}
+        if len(held_by) < t.need:
+            continue
         last = max(0, len(words) - size)  # later windows are parts of that one
         change: dict[int, list[int]] = defaultdict(lambda: [0, 0])  # start -> tokens, marks that enter less those that leave
-        for kind, spots in [*((0, places.get(w, ())) for w in t.tokens), *((1, m) for m in marks)]:
+        for kind, spots in [*((0, spots) for spots in held_by.values()), *((1, m) for m in marks)]:
             free = 0  # first start whose window does not hold the token yet
             for first, end in spots:
                 a, b = max(free, end - size + 1), min(first, last)

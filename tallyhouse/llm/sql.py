@@ -53,16 +53,31 @@ _TEMPLATES = ", ".join(f"({i}, '{label}', string_split('{text}', ' '))" for i, (
 _PLACES = " UNION ALL ".join(
     f"SELECT r, i, '{label}' AS label FROM n WHERE " + " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(phrase.split()))
     for phrase, label in licenses.PHRASES)
+_MARKS = ", ".join(
+    f"({i}, {j}, {x.split()}, {sorted(b.decode() for b in licenses.NOT_AFTER.get(x.split()[0].encode(), ()))}::VARCHAR[])"
+    for i, (_, text) in enumerate(licenses.TEMPLATES) for j, spellings in enumerate(licenses.marks_of(text)) for x in spellings)
 
+# A block is a window of twice the template's words. A window at another start holds no more than the one at the first
+# template token or mark in it, so the windows that start at one stand for all.
 LICENSE_SCAN = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({low("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 n AS (SELECT r, ws, unnest(range(len(ws))) AS i FROM d),
 p AS ({_PLACES}),
 base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY r),
 t(k, label, tw) AS (VALUES {_TEMPLATES}),
-b AS (SELECT r, k, label, len(list_intersect(list_distinct(ws[i + 1 : i + 2 * len(tw)]), list_distinct(tw))) / len(list_distinct(tw)) AS c
-      FROM (SELECT r, ws, k, label, tw, unnest(range(0, len(ws), len(tw))) AS i FROM d, t)),
-x AS (SELECT r, label, max(c) AS c FROM b WHERE c >= {licenses.THRESHOLD} - 1e-9 GROUP BY r, label),
+m(k, j, sp, barred) AS (VALUES {_MARKS}),
+tok AS (SELECT k, 2 * len(tw) AS size, len(list_distinct(tw)) AS total, unnest(list_distinct(tw)) AS w FROM t),
+w AS (SELECT r, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM d),
+hit AS (SELECT r, i, w, k, size, total FROM w JOIN tok USING (w)),
+full_ AS (SELECT r, k FROM hit GROUP BY r, k, total HAVING count(DISTINCT w) >= {licenses.THRESHOLD} * total - 1e-9),
+h AS (SELECT * FROM hit SEMI JOIN full_ USING (r, k)),
+spot AS (SELECT r, k, j, i, i + len(sp) - 1 AS e FROM w JOIN m ON w.w = sp[1] JOIN d USING (r) SEMI JOIN full_ USING (r, k)
+         WHERE ws[i + 1 : i + len(sp)] = sp AND NOT list_has_any(barred, ws[greatest(i - 3, 0) + 1 : i])),
+s AS (SELECT r, k, i AS s FROM h UNION SELECT r, k, i FROM spot),
+n_tok AS (SELECT r, k, s, size, count(DISTINCT w) / any_value(total) AS c FROM s JOIN h USING (r, k) WHERE i BETWEEN s AND s + size - 1 GROUP BY r, k, s, size),
+n_mark AS (SELECT r, k, s, count(DISTINCT j) AS held FROM n_tok JOIN spot USING (r, k) WHERE i >= s AND e < s + size GROUP BY r, k, s),
+x AS (SELECT r, label, max(c) AS c FROM n_tok LEFT JOIN n_mark USING (r, k, s) JOIN t USING (k)
+      WHERE c >= {licenses.THRESHOLD} - 1e-9 AND coalesce(held, 0) = (SELECT count(DISTINCT j) FROM m WHERE m.k = n_tok.k) GROUP BY r, label),
 names AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM x UNION SELECT r, label FROM p) GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
