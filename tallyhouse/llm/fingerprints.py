@@ -28,35 +28,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import with_consecutive_ids
 from .common import stored
 
 BINS = 64
-BLOCK = 64            # consecutive ids that are ordered together
-SUPER_BLOCK = 1 << 16  # consecutive blocks whose order is found together
+BLOCK = 64            # consecutive ids that are ordered together, a power of two
+NULL_BITS = 24        # rows without an id are dealt to this power of two blocks, by their texts' digests
 _SCALE, _SHIFT, _TOKEN = 1 << 31, 200, 1 << 16  # ln a as an integer of 40 bits, before 16 bits of the sample
 EMPTY = -1            # sample of a text without words
 
 
+def block_of(doc_id: str) -> Column:
+    """The block of an id: a shift, as a division would round large ids."""
+    return F.shiftright(F.col(doc_id), BLOCK.bit_length() - 1)
+
+
 def chain(blocks: DataFrame) -> DataFrame:
     """(block, next_block) of a table of blocks: the next larger one, after the
-    largest the smallest. Works on block numbers only, in two levels."""
-    rows = blocks.select("block").distinct().withColumn("super", F.floor(F.col("block") / SUPER_BLOCK))
-    inner = Window.partitionBy("super").orderBy("block")
-    linked = rows.select("super", "block", F.lead("block").over(inner).alias("follows"))
-    heads = rows.groupBy("super").agg(F.min("block").alias("head"))
-    every = Window.orderBy("super")  # one row for each BLOCK x SUPER_BLOCK ids
-    after = heads.select("super", F.coalesce(F.lead("head").over(every), F.min("head").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next_head"))
-    return linked.join(after, "super").select("block", F.coalesce("follows", "next_head").alias("next_block"))
+    largest the smallest. Works on block numbers only, ranked over range
+    partitions: sparse ids, with a block for nearly each, stay spread out."""
+    ranked = with_consecutive_ids(blocks.select("block").distinct(), ["block"], "rank")
+    first = ranked.where("rank = 1").first()  # one row
+    after = ranked.select(F.col("block").alias("next_block"), (F.col("rank") - 1).alias("rank"))
+    return ranked.join(after, "rank", "left").select("block", F.coalesce("next_block", F.lit(first and first["block"])).cast("long").alias("next_block"))
 
 
-def with_next(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+def with_next(rows: DataFrame, order: list[str], value: str, name: str, links: DataFrame) -> DataFrame:
     """``rows`` (with a column block that agrees with the order) and ``name``:
     the value of the next row, for the last row that of the first; ``place`` is
-    the row's place in its block, from 1."""
+    the row's place in its block, from 1. ``links`` is the ``chain`` of the rows."""
     w = Window.partitionBy("block").orderBy(*order)
     placed = rows.withColumns({"place": F.row_number().over(w), "_next": F.lead(value).over(w), "_last": F.lead(F.lit(1)).over(w).isNull()})
     first = placed.where("place = 1").select(F.col("block").alias("next_block"), F.col(value).alias("_first"))
-    link = chain(rows).join(first, "next_block").select("block", "_first")
+    link = links.join(first, "next_block").select("block", "_first")
     return (placed.join(link, "block", "left").withColumn(name, F.when(F.col("_last"), F.col("_first")).otherwise(F.col("_next")))
             .drop("_next", "_last", "_first"))
 
@@ -138,21 +142,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     near_edited, near_next): one row for each row of ``docs``.
 
     The edited text has the last floor(n_chars / 4) code points replaced by the
-    first as many of the next row's text, in the order of doc_id (null first)
-    and text; the last row's next is the first. A null text is empty. Texts
+    first as many of the next row's text, in the order of doc_id (null first,
+    by the SHA-256 of their texts) and text; the last row's next is the first. A null text is empty. Texts
     without words have a fingerprint of their own. Rows that repeat a doc_id
     follow each other; ids are taken to be nearly unique, as rows of one id are
     ordered in one task."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
-        "block", F.coalesce(F.floor(F.col("doc_id") / BLOCK), F.lit(-(1 << 62))))
-    n = F.length("text").cast("long")
-    ordered = with_next(rows, ["doc_id", "text"], "text", "next_text").withColumn("n_chars", n)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("digest", F.when(F.col("doc_id").isNull(), F.sha2("text", 256)))
+    salt = F.conv(F.substring("digest", 1, NULL_BITS // 4), 16, 10).cast("long")
+    rows = rows.withColumn("block", F.coalesce(block_of("doc_id"), F.lit(-(1 << 62)) + salt))
+    links = chain(rows)
+    ordered = with_next(rows, ["doc_id", "digest", "text"], "text", "next_text", links).withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = ordered.select("block", "place", "doc_id", "n_chars", "text", F.concat(
         F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next_text", F.lit(1), cut)).alias("edited"))
     prints = fingerprint_arrays(edited, ["block", "place"], ["text", "edited"]).withColumnsRenamed({"text": "own", "edited": "changed"})
     known = edited.select("block", "place", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
     table = stored(known.join(prints, ["block", "place"]).withColumnRenamed("place", "at"))
-    return with_next(table, ["at"], "own", "following").select(
+    return with_next(table, ["at"], "own", "following", links).select(
         "doc_id", "n_chars", "edited_sha256", spelled_out("own").alias("fingerprint"), spelled_out("changed").alias("edited_fingerprint"),
         likeness("own", "changed").alias("near_edited"), likeness("own", "following").alias("near_next"))
