@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from ..sources.tables import TableStore
+from ..sources.claims import IdRanges
+from ..sources.tables import CommitConflict, TableStore
 from .catalogue import onboard_products
 from .edits import apply_edits, insert_if_absent, keyed_match, keyless
 from .invoicing import build_invoice_lines, build_invoices, build_purchase_rows
@@ -89,11 +90,17 @@ def record_purchases(store: TableStore, entries: DataFrame, tag: str | None = No
 
 
 def add_products(store: TableStore, form: DataFrame, order_by: str = "form_order") -> Applied:
-    """Onboard new products with their units, inventory rows and edges."""
-    ob = onboard_products(form, store.read("product"), store.read("inventory"), order_by)
-    v = store.change(append={"product": ob.product, "unit_size": ob.unit_size,
-                             "inventory": ob.inventory, "size_conversion": ob.size_conversion})
-    return Applied(v, ob.rejects)
+    """Onboard new products with their units, inventory rows and edges. The ids
+    are reserved before anything is written, so of two onboardings at once each
+    keeps its own: the one that commits later only stages its rows again. A
+    failed one leaves a gap in the ids."""
+    ob = onboard_products(form, store.read("product"), store.read("inventory"), order_by, IdRanges(store.spark, store.root).reserve)
+    added = {"product": ob.product, "unit_size": ob.unit_size, "inventory": ob.inventory.checkpoint(), "size_conversion": ob.size_conversion}
+    while True:
+        try:
+            return Applied(store.change(append=added), ob.rejects)
+        except CommitConflict:  # appends do not depend on what the other writer committed
+            continue
 
 
 def save_edits(store: TableStore, table: str, edits: DataFrame, keys: list[str]) -> Applied:

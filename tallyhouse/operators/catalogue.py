@@ -3,6 +3,7 @@ product onboarding."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -79,7 +80,7 @@ class Onboarding:
 
 
 def onboard_products(new_products: DataFrame, product: DataFrame, inventory: DataFrame,
-                     order_by: str = "form_order") -> Onboarding:
+                     order_by: str = "form_order", reserve: Callable[[str, int, int], int] | None = None) -> Onboarding:
     """Add products from form rows (product_name, ball, half_ball, pack, roll
     flags, ``order_by``): new product ids above the current maximum in form
     order, one unit row per ticked unit, a zero-stock inventory row with its
@@ -91,6 +92,11 @@ def onboard_products(new_products: DataFrame, product: DataFrame, inventory: Dat
     Ids are dense and ordered but never pass through one task: see
     ``functions.ids.with_consecutive_ids``. Needs a checkpoint folder
     (``session.work_dir``).
+
+    ``reserve`` (column, count, floor) gives the first id of a range that no
+    other writer has (``IdRanges.reserve``): two onboardings at once then get
+    disjoint ids. Only counts and first ids come to the driver for it. Without
+    it the ids follow the tables' maxima as they are read here.
     """
     # Both offsets come from one scan of the product and inventory ids; the
     # offsets and the numbered products are checkpointed (to the shared
@@ -98,8 +104,15 @@ def onboard_products(new_products: DataFrame, product: DataFrame, inventory: Dat
     # the scans, the range partitioning and the prefix sum.
     work_dir(product.sparkSession)  # the checkpoint folder (the session's, or a local one in tests)
     nxt = next_ids(product, inventory).checkpoint()
-    prod = with_consecutive_ids(new_products, [order_by], "product_id",
-                                nxt.select(F.col("next_product_id") - 1)).checkpoint()
+
+    def before(column: str, rows: DataFrame) -> DataFrame:
+        """The last id before those of ``rows``."""
+        free = nxt.select(F.col(f"next_{column}") - 1)
+        if reserve is None:
+            return free
+        return nxt.select(F.lit(reserve(column, rows.count(), free.first()[0] + 1) - 1))
+
+    prod = with_consecutive_ids(new_products, [order_by], "product_id", before("product_id", new_products)).checkpoint()
     units = F.array(*[
         F.when(F.col(flag), F.struct(F.lit(u).alias("unit_id"), F.lit(name).alias("unit_size")))
         for flag, (u, name) in zip(("ball", "half_ball", "pack", "roll"), (*S.UNIT_LADDER, S.ROLL_UNIT))])
@@ -109,8 +122,7 @@ def onboard_products(new_products: DataFrame, product: DataFrame, inventory: Dat
         F.col("u.unit_size").alias("unit_size"))
     valid, rejects = split_duplicates(unit_rows, ["product_id", "unit_id"])
     valid = valid.checkpoint()
-    inv = with_consecutive_ids(valid, ["product_id", "unit_id"], "inventory_id",
-                               nxt.select(F.col("next_inventory_id") - 1)).select(
+    inv = with_consecutive_ids(valid, ["product_id", "unit_id"], "inventory_id", before("inventory_id", valid)).select(
         "inventory_id", "product_id", "product_name", "unit_id", "unit_size", F.lit(0.0).alias("stock"))
     return Onboarding(
         product=prod.select("product_id", "product_name"),

@@ -45,6 +45,15 @@ def sufficiency_gate(sufficiency: DataFrame) -> DataFrame:
     return sufficiency.agg(F.coalesce(F.bool_and("truth_value"), F.lit(True)).alias("sufficient"))
 
 
+def is_sufficient(sufficiency: DataFrame) -> bool:
+    """The gate's answer as a search for one product that fails: the tasks of
+    the last stage start a few at a time (one, then four times as many), and
+    none starts once a failing product is found. True without products. The
+    demand must be summed before any product can be judged, so what is saved
+    are the tasks that compare; ``sufficiency_gate`` is the same as a table."""
+    return not sufficiency.where(~F.col("truth_value")).select(F.lit(1)).take(1)
+
+
 def usable_rows(inventory: DataFrame) -> DataFrame:
     """(product_id, unit_id) of the inventory rows that stock can be posted to:
     the key is complete and held by one row. One grouped count."""
@@ -166,8 +175,8 @@ def post_invoices(store: TableStore, status: str = S.STATUS_INVOICE, parity: boo
        stay unmarked (``parity`` posts their other lines and marks them, as the
        original does);
     3. the gate: ``parity`` checks ``PAID`` demand with the inner join, the
-       default checks ``status`` demand with every product; one boolean comes
-       back to the driver;
+       default checks ``status`` demand with every product, and the search ends
+       at the first product that fails (``is_sufficient``);
     4. new inventory (cascade) and invoices (flag) are staged under one
        version; unless ``parity``, a NULL or negative stock refuses the posting
        and drops what was staged. Of the invoices only the (status, is_process)
@@ -208,8 +217,7 @@ def post_invoices(store: TableStore, status: str = S.STATUS_INVOICE, parity: boo
         postable = invoice.join(held, "invoice_id", "left_anti")
     open_demand = demand(txn, postable, S.TXN_OUT, status).checkpoint()
     gate_demand = demand(txn, invoice, S.TXN_OUT, S.STATUS_PAID) if parity else open_demand
-    gate = sufficiency_gate(sufficiency_of(valid, conversion, gate_demand, parity))
-    if not gate.first()["sufficient"]:
+    if not is_sufficient(sufficiency_of(valid, conversion, gate_demand, parity)):
         return refused("insufficient stock")
 
     new_inventory = stock_cascade(valid, conversion, open_demand, validated=True).unionByName(rejects)

@@ -19,6 +19,18 @@ def invoice_detail(selection: DataFrame, txn: DataFrame) -> DataFrame:
     return txn.join(selection.select("invoice_id"), "invoice_id", "left_semi").select(*txn.columns)
 
 
+def invoice_detail_between(selection: DataFrame, txn: DataFrame) -> DataFrame:
+    """``invoice_detail`` for a selection of neighbouring ids (a page of a grid,
+    a month): the selection's least and greatest id come to the driver and go to
+    the scan as a range, so that files of a table in the order of its invoices
+    (``TableStore.compact``) stay unread outside it. An empty selection has no
+    lines."""
+    ends = selection.agg(F.min("invoice_id").alias("least"), F.max("invoice_id").alias("greatest")).first()
+    if ends["least"] is None:
+        return txn.where(F.lit(False))
+    return invoice_detail(selection, txn.where(F.col("invoice_id").between(ends["least"], ends["greatest"])))
+
+
 def invoice_term_days(invoice: DataFrame, as_of: str | dt.datetime | None = None,
                       status: str = S.STATUS_INVOICE) -> DataFrame:
     """Invoices of ``status`` with ``remaining_days``: whole days from invoice

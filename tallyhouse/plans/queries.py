@@ -42,6 +42,13 @@ def q_inventory_scan(spark, d):
     return Ledger(spark, d).inventory
 
 
+def q_sufficiency_search(spark, d):
+    """The gate's answer by the search that ends at the first failing product."""
+    L = Ledger(spark, d)
+    found = posting.is_sufficient(posting.stock_sufficiency(L.inventory, L.size_conversion, L.txn, L.invoice))
+    return spark.createDataFrame([(found,)], "sufficient boolean")
+
+
 def q_inventory_csv(spark, d):
     path = scratch_path(spark, "inventory-csv")
     write_csv_table(Ledger(spark, d).inventory, path)
@@ -205,6 +212,26 @@ def q_append_rows(spark, d):
     return money_as_double(store.read("txn"))
 
 
+def _compacted(spark, d) -> TableStore:
+    """The lines written as two segments, then as one in the order of their invoices."""
+    L = Ledger(spark, d)
+    store = TableStore(spark)
+    for kind in (S.TXN_IN, S.TXN_OUT):
+        store.append("txn", L.txn.where(F.col("txn_type") == kind))
+    store.compact("txn")
+    return store
+
+
+def q_compact_lines(spark, d):
+    return money_as_double(_compacted(spark, d).read("txn"))
+
+
+def q_compact_detail(spark, d):
+    """The lines of the open invoices, from a table in the order of its invoices."""
+    selection = Ledger(spark, d).invoice.where(F.col("status") == S.STATUS_INVOICE)
+    return money_as_double(reports.invoice_detail_between(selection, _compacted(spark, d).read("txn")))
+
+
 def q_replace_table(spark, d):
     L = Ledger(spark, d)
     store = TableStore(spark)
@@ -477,6 +504,24 @@ def q_onboard_rejects(spark, d):
     return _onboarded(spark, d).rejects
 
 
+def _onboarded_twice(spark, d) -> TableStore:
+    """A store after two onboardings: the forms of even orders, then the odd ones."""
+    L = Ledger(spark, d)
+    store = TableStore(spark)
+    store.replace({"product": L.product, "inventory": L.inventory})
+    for odd in (0, 1):
+        actions.add_products(store, L.new_products.where(F.col("form_order") % 2 == odd))
+    return store
+
+
+def q_onboard_twice_products(spark, d):
+    return _onboarded_twice(spark, d).read("product")
+
+
+def q_onboard_twice_inventory(spark, d):
+    return _onboarded_twice(spark, d).read("inventory")
+
+
 def _post(spark, d, inventory) -> TableStore:
     L = Ledger(spark, d)
     store = TableStore(spark)

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..session import scratch_path
+from .claims import move_new
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -70,6 +71,16 @@ PARTITION_BY = {"txn": ["txn_type"], "invoice": ["status", "is_process"]}
 # aggregates alike, and AQE cannot split a scan. Shuffled plans pre-aggregate
 # before the exchange and let AQE split a skewed join partition.
 
+# The order that ``compact`` gives a table's files, so that the row groups' least
+# and greatest values leave most files of a picked invoice or product unread. The
+# folder columns come first (a task writes few folders), a unique column last (a
+# hot invoice or product is cut into several files).
+CLUSTER_BY = {
+    "txn": ["txn_type", "invoice_id", "transaction_id"], "invoice": ["status", "is_process", "invoice_id"],
+    "inventory": ["product_id", "inventory_id"], "unit_size": ["product_id", "unit_id"], "product": ["product_id"],
+    "size_conversion": ["product_id", "original_unit_id", "convert_unit_id"], "purchase": ["product_id", "purchase_id"],
+}
+
 SEGMENT = "segment"
 EMPTY = "__EMPTY__"  # an empty string in a folder column
 NULL = "__HIVE_DEFAULT_PARTITION__"  # Spark's folder name of a NULL
@@ -232,13 +243,11 @@ class TableStore:
         staged = self._staged.pop(version)
         tables = list(staged) if tables is None else list(tables)
         marker = self.spark.createDataFrame([(tables, [list(staged[t].segments) for t in tables], tag)], _MARKER)
-        try:
-            marker.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/_commits/v={version}")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_ALREADY_EXISTS":
-                raise
+        written = f"{self.root}/_staged/{uuid.uuid4().hex}"
+        marker.coalesce(1).write.parquet(written)
+        if not move_new(self.spark, written, f"{self.root}/_commits/v={version}"):
             self.refresh()
-            raise CommitConflict(f"version {version} of {self.root} was committed by another writer; stage the change again") from e
+            raise CommitConflict(f"version {version} of {self.root} was committed by another writer; stage the change again")
         committed = self._committed()
         for t in tables:
             committed.setdefault(t, {})[version] = staged[t]
@@ -266,8 +275,11 @@ class TableStore:
         return self.change(append={table: rows})
 
     def compact(self, table: str) -> int:
-        """Rewrite a table's segments as one."""
-        return self.replace({table: self.read(table)})
+        """Rewrite a table's segments as one, its files in the order of
+        CLUSTER_BY: one range shuffle, so that later reads of a few invoices or
+        products (``between``, or a literal on the column) skip the other files."""
+        rows, order = self.read(table), CLUSTER_BY.get(table)
+        return self.replace({table: rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows})
 
     def vacuum(self, keep: int = 1) -> list[str]:
         """Delete the segment folders that none of each table's newest ``keep``
