@@ -143,13 +143,14 @@ def piece_bytes(pieces: Pieces) -> list[bytes]:
 def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """(doc_id, n_ids, ids): the ids of every whole text, one row for each row
     of ``docs``. Null and empty texts have no id. The space mark itself, if it
-    stands in a text, becomes bytes, so that decoding gives the text back."""
+    stands in a text, becomes bytes, so that decoding gives the text back. Bytes
+    that are no UTF-8 (a cast binary) are read as U+FFFD."""
     shared = docs.sparkSession.sparkContext.broadcast(pieces)  # as large as the model, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_kept("pieces", shared.value, lambda: Encoder(shared.value))
         for batch in batches:
-            ids = [encoder.encode(t.decode()) for t in texts(batch)]
+            ids = [encoder.encode(t.decode("utf-8", "replace")) for t in texts(batch)]
             ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)],
