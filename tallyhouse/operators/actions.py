@@ -60,11 +60,12 @@ def submit_invoices(store: TableStore, headers: DataFrame, drafts: DataFrame, th
         stored = store.read("invoice").select("invoice_id").distinct().withColumn("_stored", F.lit(True))
         checked = checked.join(stored, "invoice_id", "left").withColumn("_unique", F.col("_unique") & F.col("_stored").isNull()).drop("_stored")
     checked = checked.checkpoint()   # the draft headers as they are judged, before the tables change
-    lines = build_invoice_lines(drafts, _table(store, "product", product), _table(store, "unit_size", unit_size))
-    invoices, unsold = build_invoices(checked.where("_unique").drop("_unique"), lines, third_tier)
+    catalogue = _table(store, "product", product), _table(store, "unit_size", unit_size)
+    invoices, unsold = build_invoices(checked.where("_unique").drop("_unique"), build_invoice_lines(drafts, *catalogue), third_tier)
     ids = invoices.select("invoice_id")
-    orphans = lines.join(ids, "invoice_id", "left_anti")
-    lines = lines.join(ids, "invoice_id", "left_semi")
+    # the drafts are parted before they get their names: narrow rows go through the shuffle by invoice
+    lines, orphans = (build_invoice_lines(drafts.join(ids, "invoice_id", how), *catalogue) for how in ("left_semi", "left_anti"))
+    orphans = orphans.select("invoice_id", *[c for c in orphans.columns if c != "invoice_id"])
     rejects = checked.where("NOT _unique").select(*headers.columns).unionByName(unsold.select(*headers.columns))
     return Applied(store.change(append={"txn": lines, "invoice": invoices}, tag=tag), rejects, orphans)
 

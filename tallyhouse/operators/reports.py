@@ -56,7 +56,9 @@ def enrich_lines(lines: DataFrame, product: DataFrame, unit_size: DataFrame) ->
 
     The catalogue becomes one row per product with a map from unit to name (as
     many entries as the product has units); the lines are scanned once and meet
-    it in one left join on product, broadcast or not as AQE finds its size."""
+    it in one left join on product. The join is a merge join: the catalogue grows
+    with the ledger, and Spark would broadcast it by the size of its compressed
+    files, a small part of what then passes through the driver."""
     one = F.count(F.lit(1)) == 1
     names = product.where(F.col("product_id").isNotNull()).groupBy("product_id").agg(F.when(one, F.min("product_name")).alias("_name"))
     units = (unit_size.where(F.col("product_id").isNotNull() & F.col("unit_id").isNotNull()).groupBy("product_id", "unit_id")
@@ -64,7 +66,7 @@ def enrich_lines(lines: DataFrame, product: DataFrame, unit_size: DataFrame) ->
              .groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("unit_id", "unit_size"))).alias("_units")))
     lookup = names.join(units, "product_id", "full")
     keep = [c for c in lines.columns if c not in ("product_name", "unit_size")]
-    return lines.select(*keep).join(lookup, "product_id", "left").select(
+    return lines.select(*keep).join(lookup.hint("merge"), "product_id", "left").select(
         *keep, F.col("_name").alias("product_name"), F.col("_units")[F.col("unit_id")].alias("unit_size"))
 
 
